@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,41 +39,30 @@ def shorten_list(items: Column, keep: int = 8) -> Column:
     )
 
 
-def asserts_phrase(text: Column, phrase: str, lookback: int = 20) -> Column:
+def asserts_phrase(text: Column, phrase: str, lookback: int = 20, negations: Sequence[str] = NEGATIONS, quotes: Sequence[str] = OPEN_QUOTES) -> Column:
     """True when ``phrase`` occurs at least once without a denial or an opening quote just before it.
 
-    The text is cut at every occurrence; what precedes occurrence i is the tail of
-    everything up to it, rebuilt from the pieces.
+    The text is cut at every occurrence and walked with the last ``lookback`` characters
+    as the only state, so the cost is linear in the text.
     """
     pieces = F.split(text, F.lit(rf"\Q{phrase}\E"), -1)
 
     def denied(before: Column) -> Column:
-        closed = F.rtrim(before)
-        quoted = reduce(lambda a, b: a | b, [closed.endswith(q) for q in OPEN_QUOTES])
-        negated = reduce(lambda a, b: a | b, [before.contains(w) for w in NEGATIONS])
+        closed = F.regexp_replace(before, SPACE_RUN + "$", "")
+        quoted = reduce(lambda a, b: a | b, [closed.endswith(q) for q in quotes])
+        negated = reduce(lambda a, b: a | b, [before.contains(w) for w in negations])
         return quoted | negated
 
-    # walk the pieces with a bounded tail, so the state never exceeds ``lookback`` characters
+    def tail(state: Column, piece: Column) -> Column:
+        return F.right(F.concat(state["tail"], piece), F.lit(lookback))
+
+    start = F.struct(F.lit("").alias("tail"), F.lit(False).alias("found"))
+    # every piece but the last is followed by an occurrence
     walked = F.aggregate(
-        pieces,
-        F.struct(F.lit("").alias("tail"), F.lit(False).alias("found"), F.lit(0).alias("seen")),
+        F.slice(pieces, 1, F.size(pieces) - 1), start,
         lambda s, piece: F.struct(
-            F.right(F.concat(s["tail"], F.when(s["seen"] > 0, F.lit(phrase)).otherwise(F.lit("")), piece), F.lit(lookback)).alias("tail"),
-            (
-                s["found"]
-                | (
-                    (s["seen"] < F.size(pieces) - 1)
-                    & ~denied(
-                        F.right(
-                            F.concat(s["tail"], F.when(s["seen"] > 0, F.lit(phrase)).otherwise(F.lit("")), piece),
-                            F.lit(lookback),
-                        )
-                    )
-                )
-            ).alias("found"),
-            (s["seen"] + 1).alias("seen"),
-        ),
-    )
+            F.right(F.concat(tail(s, piece), F.lit(phrase)), F.lit(lookback)).alias("tail"),
+            (s["found"] | ~denied(tail(s, piece))).alias("found")))
     return walked["found"]
 
 

@@ -1,0 +1,154 @@
+"""MDL: regressions on panels and the chains built from them."""
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from ..operators import models as md
+from ..operators import windows as wn
+from .calendars import holidays
+from .registry import query, rounded
+from .standins import MONTHLY, W, cents, daily, frame, money, monthly, r, revenue, temperature, temperature_sql
+
+_P = "CAST(period AS VARCHAR) AS period"
+_TEMP_SQL = temperature_sql("CAST(period + INTERVAL 14 DAY AS DATE)")
+
+
+def _with_temp(t):
+    return monthly(t).drop("n").withColumn("temp", temperature(F.date_add("period", 14)))
+
+
+def _daily_temp(t):
+    return daily(t).drop("n").withColumn("temp", temperature(F.col("period")))
+
+
+def _shown(df):
+    return rounded(df.withColumn("month_coefs", F.to_json("month_coefs")), 4)
+
+
+@query("mdl1_temperature_piecewise")
+def mdl1(t):
+    return _shown(md.fit_temperature(_daily_temp(t)))
+
+
+@query("mdl1_temperature_line", f"""
+WITH {MONTHLY}, m AS (SELECT *, {_TEMP_SQL} AS temp FROM monthly)
+SELECT series_id, 'linear' AS method, count(*) AS n, {r('regr_intercept(value, temp)', 2)} AS intercept, {r('regr_slope(value, temp)', 3)} AS temp_coef, {r('regr_r2(value, temp)', 6)} AS r_squared FROM m GROUP BY 1""")
+def mdl1_line(t):
+    return rounded(md.fit_temperature(_with_temp(t), "linear", months=False).select("series_id", "method", "n", "intercept", "temp_coef", "r_squared"), 6, intercept=2, temp_coef=3)
+
+
+@query("mdl2_ridge", f"""
+WITH {MONTHLY}, m AS (SELECT series_id, value, {_TEMP_SQL} AS temp FROM monthly), s AS (SELECT series_id, count(*) AS n, avg(temp) AS mt, avg(value) AS mv, covar_pop(value, temp) * count(*) / (var_pop(temp) * count(*) + 1) AS b FROM m GROUP BY 1)
+SELECT series_id, 'ridge' AS method, n, {r('mv - mt * b', 2)} AS intercept, {r('b', 3)} AS temp_coef FROM s""")
+def mdl2_ridge(t):
+    return rounded(md.fit_temperature(_with_temp(t), "ridge", months=False).select("series_id", "method", "n", "intercept", "temp_coef"), 3, intercept=2)
+
+
+@query("mdl2_huber")
+def mdl2_huber(t):
+    return _shown(md.fit_temperature(_with_temp(t), "huber"))
+
+
+@query("mdl3_temperature_correct", f"""
+WITH {MONTHLY}, m AS (SELECT *, {_TEMP_SQL} AS temp FROM monthly), c AS (SELECT series_id, regr_slope(value, temp) AS b FROM m GROUP BY 1)
+SELECT series_id, {_P}, {r('b * temp', 3)} AS temp_effect, {r('value - b * temp', 3)} AS corrected FROM m JOIN c USING (series_id)""")
+def mdl3(t):
+    m = _with_temp(t)
+    return rounded(md.temperature_correct(m, md.fit_temperature(m, "linear", months=False)).select("series_id", "period", "temp_effect", "corrected"), 3)
+
+
+@query("mdl4_correction_chain")
+def mdl4(t):
+    return rounded(md.apply_corrections(_daily_temp(t), holidays(t.spark)), 3)
+
+
+PANEL = MONTHLY + f""",
+mg AS (SELECT *, (value - lag(value, 12) OVER w) / nullif(abs(lag(value, 12) OVER w), 0) * 100 AS yoy, sum(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS cd, lag(value, 12) OVER w AS base FROM monthly WINDOW w AS (PARTITION BY series_id ORDER BY period)),
+mc AS (SELECT *, (cd - lag(cd, 12) {W}) / nullif(abs(base), 0) * 100 AS cap_rate FROM mg),
+qt AS (SELECT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS quarter, CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS v FROM lineitem GROUP BY 1),
+gdp AS (SELECT quarter, (v - lag(v, 4) OVER (ORDER BY quarter)) / nullif(abs(lag(v, 4) OVER (ORDER BY quarter)), 0) * 100 AS gdp FROM qt),
+wide AS (SELECT series_id, CAST(date_trunc('quarter', period) AS DATE) AS quarter, {', '.join(f"max(CASE WHEN (month(period) - 1) % 3 + 1 = {m} THEN {c} END) AS month{m}_{c}" for c in ('yoy', 'cap_rate') for m in (1, 2, 3))} FROM mc GROUP BY 1, 2),
+panel AS (SELECT w.*, g.gdp, p.gdp AS prev_gdp FROM wide w LEFT JOIN gdp g USING (quarter) LEFT JOIN gdp p ON p.quarter + INTERVAL 3 MONTH = w.quarter)"""
+_PANEL_COLS = ["prev_gdp", *[f"month{m}_{n}" for n in ("yoy", "cap_rate") for m in (1, 2, 3)], "gdp"]
+
+
+def panel(t):
+    m = wn.net_increment(monthly(t)).select("series_id", "period", wn.lag_growth("value", 12).alias("yoy"), F.col("capacity_change_rate").alias("cap_rate"))
+    q = t.lineitem.groupBy(F.lit("all").alias("series_id"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("quarter")).agg((F.sum(revenue()).cast("double") / 100.0).alias("v"))
+    return md.quarter_panel(m, q.select("quarter", wn.lag_growth("v", 4, order="quarter").alias("gdp")))
+
+
+@query("mdl5_quarter_panel", f"WITH {PANEL} SELECT series_id, CAST(quarter AS VARCHAR) AS quarter, {', '.join(f'{r(c, 5)} AS {c}' for c in _PANEL_COLS)} FROM panel")
+def mdl5(t):
+    return rounded(panel(t), 5)
+
+
+@query("mdl6_rolling_stages")
+def mdl6(t):
+    fits = md.rolling_stages(panel(t))
+    return rounded(fits.select("series_id", "quarter", "stage", "prediction", "actual", "r_squared", "rmse", "n_train", "train_start", "train_end"), 5)
+
+
+def _line_sql(stage, feature):
+    w = "OVER (PARTITION BY series_id ORDER BY quarter ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)"
+    ok = f"count(*) {w} = 9 AND count(CASE WHEN {feature} IS NOT NULL AND gdp IS NOT NULL THEN 1 END) {w} >= 3"
+    return f"""SELECT series_id, quarter, '{stage}' AS stage, gdp AS actual, CASE WHEN {ok} THEN regr_slope(gdp, {feature}) {w} END AS slope,
+  CASE WHEN {ok} THEN regr_intercept(gdp, {feature}) {w} + regr_slope(gdp, {feature}) {w} * {feature} END AS prediction FROM panel"""
+
+
+_LINES = {"stage_1": "prev_gdp", "stage_2": "month1_yoy", "stage_3": "month2_yoy"}
+ONE_FEATURE = PANEL + ", lines AS (" + " UNION ALL ".join(_line_sql(s, f) for s, f in _LINES.items()) + "), one_feature AS (SELECT * FROM lines WHERE prediction IS NOT NULL)"
+
+
+def one_feature_predictions(t):
+    p = panel(t)
+    return reduce(lambda a, b: a.unionByName(b), [md.rolling_line(p, s, f) for s, f in _LINES.items()])
+
+
+@query("mdl6_rolling_line", f"WITH {ONE_FEATURE} SELECT series_id, CAST(quarter AS VARCHAR) AS quarter, stage, {r('actual', 5)} AS actual, {r('slope', 5)} AS slope, {r('prediction', 5)} AS prediction FROM one_feature")
+def mdl6_line(t):
+    return rounded(one_feature_predictions(t), 5)
+
+
+@query("mdl7_coefficient_history")
+def mdl7(t):
+    return rounded(md.coefficient_history(md.rolling_stages(panel(t))), 5)
+
+
+def _shares(t):
+    from ..operators.aggregates import sector_shares
+
+    s = sector_shares(t.orders, F.to_date(F.date_trunc("month", "o_orderdate")), "o_orderstatus", cents("o_totalprice"))
+    return s.groupBy("period").agg(*[F.max(F.when(F.col("sector") == x, F.col("share_of_mean"))).alias(f"share_{x.lower()}") for x in ("F", "O", "P")])
+
+
+_ROLL = ", ".join(f"{r(f'CASE WHEN count(value) {W[:-1]} {frame(w)}) >= 3 THEN {fn}(value) {W[:-1]} {frame(w)}) END', 3)} AS roll_{w}_{s}" for w in (3, 6, 12) for s, fn in (("mean", "avg"), ("std", "stddev_samp")))
+_MA = ", ".join(f"{r(f'avg(value) {W[:-1]} {frame(w)})', 3)} AS consumption_ma_{w}" for w in (3, 6, 12))
+
+
+@query("mdl8_feature_matrix", f"""
+WITH {MONTHLY}, b AS (SELECT *, {_TEMP_SQL} AS temp, sum(value) OVER (PARTITION BY series_id, year(period) ORDER BY period) AS ytd, sum(value) {W[:-1]} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS cd FROM monthly),
+sc AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, o_orderstatus AS x, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS s, count(*) AS n FROM orders GROUP BY 1, 2),
+sh AS (SELECT period, x, s / n / (sum(s) OVER p / sum(n) OVER p) * 100 AS share FROM sc WINDOW p AS (PARTITION BY period)),
+sw AS (SELECT period, max(share) FILTER (x = 'F') AS share_f, max(share) FILTER (x = 'O') AS share_o, max(share) FILTER (x = 'P') AS share_p FROM sh GROUP BY 1),
+f AS (SELECT series_id, period, value AS consumption, {r('temp', 5)} AS temp, {r(f'(ytd / nullif(lag(ytd, 12) {W}, 0) - 1) * 100', 5)} AS consumption_cumulative_yoy, {r('cd', 2)} AS capacity_delta, {r(f'lag(cd, 12) {W}', 2)} AS capacity_delta_prev_year,
+  {r(f'(cd - lag(cd, 12) {W}) / nullif(abs(lag(value, 12) {W}), 0) * 100', 5)} AS capacity_change_rate, {r(f'(value - lag(value, 12) {W}) / nullif(abs(lag(value, 12) {W}), 0) * 100', 5)} AS consumption_yoy,
+  {r(f'(value - lag(value) {W}) / nullif(abs(lag(value) {W}), 0) * 100', 5)} AS consumption_mom, {_MA}, {_ROLL}, {r(f'value - lag(value) {W}', 2)} AS consumption_diff,
+  CAST(month(period) AS INTEGER) AS month, CAST(quarter(period) AS INTEGER) AS quarter, CAST((month(period) - 1) % 3 + 1 AS INTEGER) AS quarter_month, CAST(isodow(period) >= 6 AS INTEGER) AS is_weekend, CAST(dayofyear(period) AS INTEGER) AS day_of_year, CAST(quarter(period) AS INTEGER) AS season,
+  {r('temp - 18', 5)} AS temperature_deviation, {r('greatest(0, 10 - temp)', 5)} AS hdd, {r('greatest(0, temp - 25)', 5)} AS cdd, CAST(temp < 10 AS INTEGER) AS is_heating_season, CAST(temp > 25 AS INTEGER) AS is_cooling_season FROM b)
+SELECT f.* REPLACE (CAST(f.period AS VARCHAR) AS period), {r('share_f', 5)} AS share_f, {r('share_o', 5)} AS share_o, {r('share_p', 5)} AS share_p FROM f LEFT JOIN sw USING (period)""")
+def mdl8(t):
+    m = md.feature_matrix(_with_temp(t), "temp", _shares(t))
+    two = {c: 2 for c in ("consumption", "capacity_delta", "capacity_delta_prev_year", "consumption_diff")}
+    three = {c: 3 for c in m.columns if c.startswith(("roll_", "consumption_ma_"))}
+    return rounded(m, 5, **two, **three)
+
+
+@query("mdl9_clean_series")
+def mdl9(t):
+    d = daily(t)
+    lines = d.select(F.to_csv(F.struct("series_id", F.date_format("period", "yyyy-MM-dd").alias("d"), "value")).alias("line"))
+    cleaned = md.clean_lines(lines, "line", "Sector string, Day date, Consumption double", {"series_id": ["sector"], "period": ["date", "day"], "value": ["consumption"], "seq": ["day"]},
+                             {}, ["value"])
+    return rounded(cleaned, 3)

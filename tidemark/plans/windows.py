@@ -113,15 +113,15 @@ def wn9(t):
 
 
 @query("wn10_seasonal_interpolation", f"""
-WITH {DAILY_GRID}, n AS (SELECT series_id, count(*) AS n FROM daily_grid GROUP BY 1),
-tr AS (SELECT *, CASE WHEN n >= 24 THEN avg(value) {W[:-1]} {frame(12)}) WHEN n >= 14 THEN avg(value) {W[:-1]} {frame(7)}) ELSE avg(value) {W[:-1]} {frame(3)}) END AS trend
-  FROM daily_grid JOIN n USING (series_id)),
+WITH {DAILY_GRID}, n AS (SELECT series_id, count(*) AS n FROM daily_grid GROUP BY 1), g AS (SELECT series_id, period, ln(value) AS value, n FROM daily_grid JOIN n USING (series_id)),
+tr AS (SELECT *, CASE WHEN n >= 24 THEN avg(value) {W[:-1]} {frame(12)}) WHEN n >= 14 THEN avg(value) {W[:-1]} {frame(7)}) ELSE avg(value) {W[:-1]} {frame(3)}) END AS trend FROM g),
 rest AS (SELECT series_id, period, trend, value - trend AS rest FROM tr),
 {_interp_sql('rest', _ROW_AT, 'rest')},
 s AS (SELECT series_id, period, trend + v AS value FROM filled)
-SELECT series_id, {_P}, {r(f'coalesce(value, {_LAST}, {_NEXT})', 3)} AS filled FROM s""")
+SELECT series_id, {_P}, {r(f'coalesce(value, {_LAST}, {_NEXT})', 7)} AS filled FROM s""")
 def wn10(t):
-    return rounded(wn.seasonal_interpolate(jn.regular(daily(t), "daily"), "value", "filled").select("series_id", "period", "filled"), 3)
+    logs = jn.regular(daily(t), "daily").withColumn("value", F.ln("value"))
+    return rounded(wn.seasonal_interpolate(logs, "value", "filled").select("series_id", "period", "filled"), 7)
 
 
 @query("wn11_auto_fill", f"""

@@ -179,9 +179,9 @@ def ag11(t):
 
 
 @query("ag12_weekday_adjust", f"""
-WITH {DAILY_TOTAL}, i AS (SELECT *, isodow(period) AS dow, value / nullif(avg(value) OVER (PARTITION BY series_id, isoyear(period), weekofyear(period)), 0) AS ix, count(value) OVER (PARTITION BY series_id) AS n FROM daily_total),
+WITH {DAILY_TOTAL}, i AS (SELECT *, isodow(period) AS dow, value / nullif(avg(value) OVER (PARTITION BY series_id, isoyear(period), weekofyear(period)), 0) AS ix, count(value) OVER (PARTITION BY series_id) AS rows_held FROM daily_total),
 m AS (SELECT series_id, dow, avg(ix) AS m FROM i GROUP BY 1, 2), a AS (SELECT *, avg(m) OVER (PARTITION BY series_id) AS am FROM m)
-SELECT i.series_id, CAST(i.period AS VARCHAR) AS period, {r('CASE WHEN n >= 14 THEN value / m * am ELSE value END', 3)} AS adjusted FROM i JOIN a USING (series_id, dow)""")
+SELECT i.series_id, CAST(i.period AS VARCHAR) AS period, {r('CASE WHEN rows_held >= 14 THEN value / m * am ELSE value END', 3)} AS adjusted FROM i JOIN a USING (series_id, dow)""")
 def ag12(t):
     return rounded(cal.weekday_adjust(daily_total(t).drop("n")).select("series_id", "period", "adjusted"), 3)
 

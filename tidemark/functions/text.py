@@ -80,9 +80,7 @@ def tokens(text: Column) -> Column:
 
 def char_ngrams(text: Column) -> Column:
     """Single characters and character pairs of the text without white space."""
-    flat = F.regexp_replace(text, SPACE_RUN, "")
-    n = F.length(flat)
-    singles = F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(flat, i, F.lit(1))))
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(flat, i, F.lit(2))))
-    empty = F.array().cast("array<string>")
-    return F.concat(F.coalesce(singles, empty), F.coalesce(pairs, empty))
+    chars = F.filter(F.split(F.regexp_replace(text, SPACE_RUN, ""), ""), lambda c: c != "")
+    shifted = F.slice(chars, 2, F.size(chars))
+    pairs = F.filter(F.zip_with(chars, shifted, lambda a, b: F.concat(a, b)), lambda p: p.isNotNull())
+    return F.concat(chars, pairs)

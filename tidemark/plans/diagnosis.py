@@ -97,7 +97,7 @@ def dgn3(t):
 
 
 def economy(t):
-    """Sector growth per quarter as a fraction; flag A stands for the preferred sector, missing in the early quarters of each decade's start."""
+    """Sector growth per quarter as a fraction. Flag A stands for the preferred sector; it does not report second quarters, so the next sector steps in."""
     q = quarterly(t).withColumn("yoy", wn.lag_growth("value", 4) / 100).filter(F.col("yoy").isNotNull())
     return dg.preferred_sector(q.select("period", F.col("series_id").alias("sector"), "yoy").filter(~((F.col("sector") == "A") & (F.quarter("period") == 2))), F.col("sector") == "A")
 

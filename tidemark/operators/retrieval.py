@@ -67,14 +67,25 @@ def hashed_vectors(df: DataFrame, doc: str, text: Column, dim: int = DIM) -> Dat
     return cells.select(doc, "bucket", (F.col("_c") / norm).alias("weight"))
 
 
-def dense(cells: DataFrame, doc: str, dim: int = DIM) -> DataFrame:
-    """Sparse cells as one array per document; at most ``dim`` cells are gathered for each."""
-    held = cells.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_m"))
-    return held.select(doc, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("vector"))
+def packed(cells: DataFrame, doc: str) -> DataFrame:
+    """Cells of a document as two parallel arrays; at most the vector's length is gathered for each."""
+    held = cells.groupBy(doc).agg(F.collect_list(F.struct("bucket", "weight")).alias("_c"))
+    return held.select(doc, F.col("_c.bucket").alias("buckets"), F.col("_c.weight").alias("weights"))
 
 
-def cosine_topk(vectors: DataFrame, doc: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 4) -> DataFrame:
-    """(query, doc, score, rank) by cosine, exact.
+def _matrix(pdf: pd.DataFrame, columns: list[str], dim: int) -> np.ndarray:
+    """Rows of unit length from dense arrays, or from (positions, weights) arrays."""
+    if len(columns) == 1:
+        x = np.array(pdf[columns[0]].to_list(), dtype=float)
+    else:
+        x = np.zeros((len(pdf), dim))
+        for i, (at, w) in enumerate(zip(pdf[columns[0]], pdf[columns[1]])):
+            x[i, at] = w
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def cosine_topk(vectors: DataFrame, doc: str, vector: list[str], queries: DataFrame, query: str, query_vector: list[str], k: int = 4, dim: int = DIM) -> DataFrame:
+    """(query, doc, score, rank) by cosine, exact. A vector is one dense array column, or positions and weights.
 
     Queries go to the tasks in blocks of about ``CHUNK`` and every partition keeps its own
     k best per query while its batches pass, so what is shuffled is k rows per query and
@@ -83,24 +94,21 @@ def cosine_topk(vectors: DataFrame, doc: str, vector: str, queries: DataFrame, q
     blocks = max(1, -(-queries.count() // CHUNK))
     kinds, names = dict(vectors.dtypes), dict(queries.dtypes)
     schema = f"{query} {names[query]}, {doc} {kinds[doc]}, score double"
-    tagged = queries.select(query, F.col(query_vector).alias("_q"), F.pmod(F.xxhash64(query), F.lit(blocks)).alias("_b"))
+    tagged = queries.select(query, *query_vector, F.pmod(F.xxhash64(query), F.lit(blocks)).alias("_b"))
     found = None
     for b in range(blocks):
-        block = tagged.filter(F.col("_b") == b).select(query, "_q").toPandas()
+        block = tagged.filter(F.col("_b") == b).drop("_b").toPandas()
         if block.empty:
             continue
         ids = block[query].to_numpy()
-        matrix = np.array(block["_q"].to_list(), dtype=float)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        matrix = _matrix(block, query_vector, dim)
 
         def local(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
             best = None
             for pdf in batches:
                 if pdf.empty:
                     continue
-                x = np.array(pdf[vector].to_list(), dtype=float)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = np.round(matrix @ x.T, 9)
+                score = np.round(matrix @ _matrix(pdf, vector, dim).T, 9)
                 names = np.broadcast_to(pdf[doc].to_numpy(), score.shape)
                 if best is not None:
                     score, names = np.hstack([best[0], score]), np.hstack([best[1], names])
@@ -109,6 +117,6 @@ def cosine_topk(vectors: DataFrame, doc: str, vector: str, queries: DataFrame, q
             if best is not None:
                 yield pd.DataFrame({query: np.repeat(ids, best[0].shape[1]), doc: best[1].ravel(), "score": best[0].ravel()})
 
-        part = vectors.select(doc, vector).mapInPandas(local, schema)
+        part = vectors.select(doc, *vector).mapInPandas(local, schema)
         found = part if found is None else found.unionByName(part)
     return _best(found, query, doc, k) if found is not None else vectors.sparkSession.createDataFrame([], schema + ", rank int")

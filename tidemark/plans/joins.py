@@ -55,16 +55,16 @@ near AS (SELECT r.series_id, r.s, r.e, avg(f.value) FILTER (f.period BETWEEN r.s
 
 @query("jn4_holiday_reference_days", f"""
 WITH {DAILY_TOTAL}, {_RUNS}
-SELECT series_id, CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", {r('coalesce(v_near, v_wide)', 3)} AS replacement FROM near""")
+SELECT series_id, CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", {r('coalesce(v_near, v_wide)', 6)} AS replacement FROM near""")
 def jn4(t):
     days = daily_total(t).join(F.broadcast(holidays(t.spark).select(F.col("day").alias("period"), F.lit(True).alias("h"))), "period", "left")
     flagged = days.withColumn("is_holiday", F.coalesce("h", F.lit(False)))
-    return rounded(cal.holiday_references(flagged, "is_holiday"), 3)
+    return rounded(cal.holiday_references(flagged, "is_holiday"), 6)
 
 
 @query("jn5_events_with_daily_rows", f"""
 WITH {DAILY_TOTAL}, {_RUNS}, {MONTHLY}, ev AS (SELECT s - 10 AS s, e + 10 AS e FROM runs)
-SELECT CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", count(*) AS n_days, {r('avg(value)', 3)} AS mean_value, {r('avg(CAST(hol AS INTEGER))', 6)} AS holiday_rate, avg(CAST(hol AS INTEGER)) > 0.4 AS in_holiday
+SELECT CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", count(*) AS n_days, {r('avg(value)', 6)} AS mean_value, {r('avg(CAST(hol AS INTEGER))', 6)} AS holiday_rate, avg(CAST(hol AS INTEGER)) > 0.4 AS in_holiday
 FROM ev JOIN flagged f ON f.period BETWEEN s AND e GROUP BY s, e""")
 def jn5(t):
     days = daily_total(t).join(F.broadcast(holidays(t.spark).select(F.col("day").alias("period"), F.lit(True).alias("h"))), "period", "left")
@@ -72,7 +72,7 @@ def jn5(t):
     events = cal.islands(flagged.filter("is_holiday"), consecutive_days=True).select("series_id", F.date_sub("start", 10).alias("start"), F.date_add("end", 10).alias("end"))
     joined = jn.interval_join(flagged.select("series_id", "period", "value", "is_holiday"), events, ["series_id"], "period", "start", "end")
     rate = F.avg(F.col("is_holiday").cast("int"))
-    return rounded(joined.groupBy("start", "end").agg(F.count("*").alias("n_days"), F.avg("value").alias("mean_value"), rate.alias("holiday_rate"), (rate > 0.4).alias("in_holiday")), 3, holiday_rate=6)
+    return rounded(joined.groupBy("start", "end").agg(F.count("*").alias("n_days"), F.avg("value").alias("mean_value"), rate.alias("holiday_rate"), (rate > 0.4).alias("in_holiday")), 6)
 
 
 @query("jn6_nearest_festival", f"""

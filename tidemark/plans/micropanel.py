@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import micropanel as mp
 from .registry import query, rounded
-from .standins import money, r
+from .standins import cents, money, r, revenue
 
 AGENTS = "agents AS (SELECT c_custkey AS agent, c_nationkey AS nation, c_mktsegment AS segment, greatest(c_acctbal, 0.0) AS coin FROM customer)"
 YEARLY = """yearly AS (SELECT o_custkey AS agent, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS income, count(*) AS labour FROM orders GROUP BY 1, 2)"""
@@ -118,10 +118,10 @@ def ec7(t):
     return rounded(taxed(t).select("agent", "year", F.col("z").alias("income"), "tax_paid", "marginal_rate", "effective_rate", "lump_sum", "coin_after"), 5, income=2, effective_rate=6)
 
 
-@query("ec8_equal_redistribution", f"WITH {AGENTS}, e AS (SELECT *, coin * 0.1 AS escrow FROM agents) SELECT agent, nation, {r('sum(coin + escrow) OVER (PARTITION BY nation) / count(*) OVER (PARTITION BY nation) - escrow', 4)} AS coin_after FROM e")
+@query("ec8_equal_redistribution", f"WITH {AGENTS}, e AS (SELECT *, coin * 0.1 AS escrow FROM agents) SELECT agent, nation, {r('sum(coin + escrow) OVER (PARTITION BY nation) / count(*) OVER (PARTITION BY nation) - escrow', 6)} AS coin_after FROM e")
 def ec8(t):
     held = agents(t).withColumn("escrow", F.col("coin") * 0.1)
-    return rounded(mp.redistribute_equally(held, ["nation"], "coin", "escrow").select("agent", "nation", "coin_after"), 4)
+    return rounded(mp.redistribute_equally(held, ["nation"], "coin", "escrow").select("agent", "nation", "coin_after"), 6)
 
 
 @query("ec9_bracket_metrics", f"WITH {TAXED}, b(bracket, avg_rate) AS (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE)' for a, b in zip(mp.CUTOFFS, mp.RATES))}) SELECT b.bracket, b.avg_rate, {r('count(taxed.bracket) * 1.0 / (SELECT count(*) FROM taxed)')} AS occupancy FROM b LEFT JOIN taxed ON CAST(taxed.bracket AS DOUBLE) = b.bracket GROUP BY 1, 2")
@@ -203,12 +203,12 @@ def macro(t):
     return mp.macro_years(supply.join(active, "step").withColumn("idle", people - F.col("busy")))
 
 
-_MACRO_OUT = f"CAST(year AS INTEGER) AS year, {r('nominal_gdp', 1)} AS nominal_gdp, {r('real_gdp', 1)} AS real_gdp, unemployment, {r('mean_price', 5)} AS mean_price, {r('mean_wage', 3)} AS mean_wage, " + ", ".join(f"{r(c)} AS {c}" for c in ("nominal_gdp_growth", "real_gdp_growth", "unemployment_growth", "inflation", "wage_inflation"))
+_MACRO_OUT = f"CAST(year AS INTEGER) AS year, {r('nominal_gdp', 3)} AS nominal_gdp, {r('real_gdp', 1)} AS real_gdp, unemployment, {r('mean_price', 5)} AS mean_price, {r('mean_wage', 3)} AS mean_wage, " + ", ".join(f"{r(c)} AS {c}" for c in ("nominal_gdp_growth", "real_gdp_growth", "unemployment_growth", "inflation", "wage_inflation"))
 
 
 @query("ec13_macro_years", f"WITH {MACRO} SELECT {_MACRO_OUT} FROM macro")
 def ec13(t):
-    return rounded(macro(t), 6, nominal_gdp=1, real_gdp=1, mean_price=5, mean_wage=3)
+    return rounded(macro(t), 6, nominal_gdp=3, real_gdp=1, mean_price=5, mean_wage=3)
 
 
 @query("ec14_policy_rate", f"""
@@ -217,30 +217,32 @@ def ec14(t):
     return rounded(mp.policy_rate(macro(t), t.customer.agg(F.count("*")).scalar()).select("year", "unemployment_rate", "interest_rate"))
 
 
-TRADES = """trades AS (SELECT p_brand AS commodity, l_suppkey AS seller, o_custkey AS buyer, CAST(round(l_extendedprice / l_quantity / 100) AS INTEGER) AS level, l_extendedprice / l_quantity AS price, l_extendedprice AS cost, l_extendedprice * (1 - l_discount) AS income
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)"""
+TRADES = """trades AS (SELECT p_brand AS commodity, l_suppkey AS seller, o_custkey AS buyer, CAST(floor(cents / l_quantity / 10000 + 0.5) AS INTEGER) AS level, CAST(floor(cents / l_quantity + 0.5) AS BIGINT) AS price, cents AS cost, CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT) AS income
+  FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem) JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)"""
 
 
 def trades(t):
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
-    joined = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select(F.col("p_brand").alias("commodity"), F.col("l_suppkey").alias("seller"), F.col("o_custkey").alias("buyer"), F.round(unit / 100).cast("int").alias("level"), unit.alias("price"),
-                         F.col("l_extendedprice").alias("cost"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("income"))
+    """Line items as trades, money in whole cents, price levels of a hundred."""
+    lines = t.lineitem.withColumn("cents", cents("l_extendedprice"))
+    unit = F.col("cents") / F.col("l_quantity")
+    joined = lines.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select(F.col("p_brand").alias("commodity"), F.col("l_suppkey").alias("seller"), F.col("o_custkey").alias("buyer"), F.floor(unit / 10000 + 0.5).cast("int").alias("level"),
+                         F.floor(unit + 0.5).alias("price"), F.col("cents").alias("cost"), revenue().alias("income"))
 
 
 def _trade_sql(table, key, side):
     return f"""WITH {TRADES}, s AS (SELECT {side} AS agent, commodity, count(*) AS n, avg(price) AS price, avg(cost) AS cost, avg(income) AS income FROM trades GROUP BY 1, 2), c AS (SELECT DISTINCT commodity FROM trades)
-SELECT a.{key} AS agent, c.commodity, coalesce(n, 0) AS n_sales, {r('price', 7)} AS price, {r('cost', 7)} AS cost, {r('income', 7)} AS income FROM {table} a CROSS JOIN c LEFT JOIN s ON s.agent = a.{key} AND s.commodity = c.commodity"""
+SELECT a.{key} AS agent, c.commodity, coalesce(n, 0) AS n_sales, {r('price', 4)} AS price, {r('cost', 4)} AS cost, {r('income', 4)} AS income FROM {table} a CROSS JOIN c LEFT JOIN s ON s.agent = a.{key} AND s.commodity = c.commodity"""
 
 
 @query("ec15_seller_statistics", _trade_sql("supplier", "s_suppkey", "seller"))
 def ec15(t):
-    return rounded(mp.trade_statistics(trades(t), t.supplier.select(F.col("s_suppkey").alias("agent")), "agent", "seller"), 7)
+    return rounded(mp.trade_statistics(trades(t), t.supplier.select(F.col("s_suppkey").alias("agent")), "agent", "seller"), 4)
 
 
 @query("ec15_buyer_statistics", _trade_sql("customer", "c_custkey", "buyer"))
 def ec15_buyers(t):
-    return rounded(mp.trade_statistics(trades(t), t.customer.select(F.col("c_custkey").alias("agent")), "agent", "buyer"), 7)
+    return rounded(mp.trade_statistics(trades(t), t.customer.select(F.col("c_custkey").alias("agent")), "agent", "buyer"), 4)
 
 
 @query("ec16_order_depth", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,15 +64,15 @@ def present(df: DataFrame) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    """Round every DOUBLE column, ``special`` naming columns with their own precision."""
-    return df.select(
-        *[
-            F.round(F.col(f"`{f.name}`"), special.get(f.name, digits)).alias(f.name)
-            if isinstance(f.dataType, T.DoubleType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    """Every DOUBLE column to fixed decimals, ``special`` naming columns with their own precision.
+
+    Written as floor(x * 10^d + 0.5) / 10^d, the one form all engines compute alike on ties.
+    """
+    def fix(name: str) -> Column:
+        c, unit = F.col(f"`{name}`"), float(10 ** special.get(name, digits))
+        return F.when(~F.isnan(c), F.floor(c * unit + 0.5) / unit).alias(name)
+
+    return df.select(*[fix(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def runner(q: Query) -> Callable[[SparkSession, str], DataFrame]:

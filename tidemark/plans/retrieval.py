@@ -52,13 +52,13 @@ def ret3(t):
     e = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x"))
     means = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     asked = means.groupBy(F.col("label").alias("query_label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("qv"))
-    return rounded(rt.cosine_topk(t.embeddings, "vec_id", "embedding", asked, "query_label", "qv", 10), 5)
+    return rounded(rt.cosine_topk(t.embeddings, "vec_id", ["embedding"], asked, "query_label", ["qv"], 10), 5)
 
 
 @query("ret3_text_topk", f"""
 WITH {_cells_sql('documents', 'doc_id')}, {_cells_sql('benchmark', 'item_id')}, s AS (SELECT item_id, doc_id, round(sum(a.weight * b.weight), 9) AS score FROM v_documents a JOIN v_benchmark b USING (bucket) GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, {r('score', 5)} AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 4""")
 def ret3_text(t):
-    docs = rt.dense(rt.hashed_vectors(t.documents, "doc_id", F.col("text")), "doc_id")
-    asked = rt.dense(rt.hashed_vectors(t.benchmark, "item_id", F.col("text")), "item_id").withColumnRenamed("vector", "qv")
-    return rounded(rt.cosine_topk(docs, "doc_id", "vector", asked, "item_id", "qv"), 5)
+    docs = rt.packed(rt.hashed_vectors(t.documents, "doc_id", F.col("text")), "doc_id")
+    asked = rt.packed(rt.hashed_vectors(t.benchmark, "item_id", F.col("text")), "item_id")
+    return rounded(rt.cosine_topk(docs, "doc_id", ["buckets", "weights"], asked, "item_id", ["buckets", "weights"]), 5)

@@ -109,8 +109,8 @@ def temperature_sql(day: str) -> str:
 
 
 def r(expr: str, digits: int = 6) -> str:
-    """SQL rounding that never yields a negative zero."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    """SQL twin of ``rounded``."""
+    return f"(floor(({expr}) * 1e{digits} + 0.5) / 1e{digits})"
 
 
 def frame(width: int) -> str:

@@ -130,11 +130,13 @@ spine AS (SELECT 'all' AS series_id, CAST(unnest(generate_series(lo, hi, INTERVA
 g AS (SELECT s.series_id, s.period, d.value, d.n, CASE WHEN d.n IS NOT NULL THEN 'seen' END AS note FROM spine s LEFT JOIN daily_total d USING (series_id, period)),
 rate AS (SELECT 100.0 * count(*) FILTER (value IS NULL) / count(*) AS miss FROM g),
 {_interp_sql('value', _ROW_AT, 'g')}
-SELECT series_id, {_P}, {r('v', 3)} AS value, note IS NOT NULL OR (SELECT miss FROM rate) > 0 AS noted FROM filled""")
+SELECT series_id, {_P}, CASE WHEN (SELECT miss FROM rate) <= 20 THEN {r('v', 3)} END AS value, (SELECT miss FROM rate) <= 20 AS kept FROM filled""")
 def wn11(t):
     gaps = jn.regular(daily_total(t), "daily").withColumn("note", F.when(F.col("n").isNotNull(), "seen")).drop("n")
     out = wn.auto_fill(gaps, ["value", "note"])
-    return rounded(out.select("series_id", "period", "value", F.col("note").isNotNull().alias("noted")), 3)
+    # a column with more than a fifth missing is left out by the operator
+    kept = {"value", "note"} <= set(out.columns)
+    return rounded(out.select("series_id", "period", (F.col("value") if kept else F.lit(None).cast("double")).alias("value"), F.lit(kept).alias("kept")), 3)
 
 
 @query("wn12_rolling_zscore", f"""

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The characters counted as white space.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE_RUN = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]+"
 # Words that, shortly before a phrase, mean it is being denied.
 NEGATIONS = ("不支持", "不能", "不应", "无法", "否认", "排除", "拒绝", "不等于", "并非", "不是", "不可", "不宜", "避免")
@@ -20,6 +22,11 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_RUN, " ")
 
 
+def strip(text: Column) -> Column:
+    """White space off both ends, looking at the ends only."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def condense(text: Column, limit: int = 420) -> Column:
     """Squeezed text, cut at ``limit`` characters with an ellipsis when longer (a display form)."""
     flat = F.trim(squeeze(text))
@@ -70,7 +77,7 @@ def tokens(text: Column) -> Column:
     """Lower-case word tokens plus bigrams of the CJK characters taken in order, gaps ignored."""
     low = F.lower(text)
     words = F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))
-    cjk = F.regexp_replace(low, r"[^\x{4e00}-\x{9fff}]", "")
+    cjk = F.regexp_replace(low, r"[^\x{4e00}-\x{9fff}]+", "")
     pairs = F.when(
         F.length(cjk) >= 2,
         F.transform(F.sequence(F.lit(1), F.length(cjk) - 1), lambda i: F.substring(cjk, i, F.lit(2))),

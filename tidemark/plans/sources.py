@@ -144,7 +144,7 @@ def src9(t):
     return jn.spine(months, "monthly").withColumn("freq", F.lit("monthly")).unionByName(jn.spine(months, "daily").withColumn("freq", F.lit("daily")))
 
 
-_ENDS = documents.ENDS
+_ENDS = r"^[\s\p{Z}\x0b\x1c-\x1f\x{85}]+|[\s\p{Z}\x0b\x1c-\x1f\x{85}]+$"
 
 
 @query("src10_sliding_chunks", rf"""

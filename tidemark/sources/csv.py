@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Charsets every session accepts.
+STANDARD_CHARSETS = ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32")
+
+
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """First row per key by ``order``.
 
@@ -29,6 +33,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, time: str, ke
     Duplicate (keys, time) rows keep the first in file order.
     """
     def scan(encoding: str) -> DataFrame:
+        if encoding.upper() not in STANDARD_CHARSETS:
+            # other Java charsets need this session switch, which must still hold when the plan runs
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         return spark.read.csv(path, header=True, schema=schema, sep=sep, encoding=encoding,
                               ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
 

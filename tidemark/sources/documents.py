@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENDS = r"^[\s\p{Z}\x0b\x1c-\x1f\x{85}]+|[\s\p{Z}\x0b\x1c-\x1f\x{85}]+$"
-
-
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, ENDS, "")
-
+from ..functions.text import strip
 
 def read_documents(spark: SparkSession, path: str, scope: str = "shared") -> DataFrame:
     """One row per text file, whole: (doc_id, title, text, source)."""

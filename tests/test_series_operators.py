@@ -89,9 +89,9 @@ def test_lag_weights(kind):
 
 def test_mixed_frequency_weighs_the_newest(series):
     df = series(list(range(1, 41)), step="day")
-    got = {str(r.bucket): r.midas for r in wn.mixed_frequency(df, [0.7, 0.3]).collect()}
+    got = {str(r.bucket): r.midas for r in wn.mixed_frequency(df, {"midas": [0.7, 0.3]}).collect()}
     assert got["2020-01-01"] == pytest.approx(0.7 * 31 + 0.3 * 30)
-    old = {str(r.bucket): r.midas for r in wn.mixed_frequency(df, [0.7, 0.3], newest_first=False).collect()}
+    old = {str(r.bucket): r.midas for r in wn.mixed_frequency(df, {"midas": [0.7, 0.3]}, newest_first=False).collect()}
     assert old["2020-01-01"] == pytest.approx(0.7 * 30 + 0.3 * 31)
 
 

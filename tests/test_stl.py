@@ -81,3 +81,10 @@ def test_classical_adds_up(series):
 def test_strengths_within_bounds(series):
     row = dc.strengths(dc.classical(series(MONTHS))).first()
     assert 0 <= row.trend_strength <= 1 and 0 <= row.seasonal_strength <= 1
+
+
+def test_windows_emptied_by_robust_weights_stay_finite():
+    y = np.ones(60)
+    y[20:45] = 50 + np.arange(25) * 7.0
+    out = stl.decompose(y, {"period": 4, "seasonal": 7})
+    assert all(np.isfinite(x).all() for x in out)

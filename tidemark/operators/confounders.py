@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import degree_days
+from ..session import stage
 from . import stl
 from .decompose import scale_bands
 from .joins import nearest_start
@@ -65,9 +66,9 @@ def remove_confounders(df: DataFrame, key: str = "series_id", order: str = "peri
 
 def decouple(df: DataFrame, period: int = 7, key: str = "series_id", order: str = "period") -> DataFrame:
     """Effects removed, yearly profile removed, weekly decomposition, detail bands, distance from the long median."""
-    signal = remove_confounders(df, key, order)
+    signal = stage(remove_confounders(df, key, order))
     flat = remove_climatology(signal.select(key, order, "log_value", "weather_effect", "calendar_effect", "economic_signal"), "economic_signal", key=key, order=order)
-    flat = flat.withColumn("economic_signal", F.col("adjusted")).drop("adjusted", "climatology")
+    flat = stage(flat.withColumn("economic_signal", F.col("adjusted")).drop("adjusted", "climatology"))
     cycle = max(period, 7)
     parts = stl.stl(flat, stl.cycle_spans(cycle), 2 * cycle, log=False, value="economic_signal").select(
         key, order, F.col("trend").alias("economic_trend"), F.col("seasonal").alias("seasonal_residual"), F.col("residual").alias("economic_residual"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import degree_days
 from ..functions.periods import quarter_month
+from ..session import stage
 from ..sources.csv import keep_first, parse_csv_lines, rename_columns
 from . import calendar as cal
 from . import windows as wn
@@ -108,10 +109,10 @@ def temperature_correct(df: DataFrame, model: DataFrame, heat_below: float = HEA
 def apply_corrections(daily: DataFrame, holidays: DataFrame, method: str = "piecewise", key: str = "series_id", order: str = "period", value: str = "value", temp: str = "temp") -> DataFrame:
     """Temperature, then holidays, then weekdays; every stage stays as a column."""
     step = temperature_correct(daily, fit_temperature(daily, method, key=key, order=order, value=value, temp=temp), key=key, value=value, temp=temp)
-    step = step.withColumnRenamed("corrected", "temp_corrected").drop("temp_effect")
+    step = stage(step.withColumnRenamed("corrected", "temp_corrected").drop("temp_effect"))
     named = holidays.select(F.col("day").alias(order), F.lit(True).alias("_h"))
     step = step.join(F.broadcast(named), order, "left").withColumn("is_holiday", F.coalesce("_h", F.lit(False))).drop("_h")
-    step = cal.smooth_holidays(step, "is_holiday", "temp_corrected", "holiday_smoothed", key=key, order=order)
+    step = stage(cal.smooth_holidays(step, "is_holiday", "temp_corrected", "holiday_smoothed", key=key, order=order))
     step = cal.weekday_adjust(step, "holiday_smoothed", "weekday_adjusted", key, order)
     return step.withColumn("final_corrected", F.col("weekday_adjusted"))
 

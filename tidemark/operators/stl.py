@@ -23,7 +23,7 @@ BATCH = 256  # series fitted as one matrix
 
 
 def _loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """Local linear fits of rows of ``y`` (series x points, abscissae 1..n) at positions ``at``.
+    """Local linear fits of rows of ``y`` (series x points, abscissae 1..n) at whole positions ``at``.
 
     All positions are fitted together: each has its window of the ``span`` nearest points.
     """
@@ -47,7 +47,8 @@ def _loess(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | None
     tilt = np.where((np.sqrt(spread) > 0.001 * (n - 1)) & (reach > 0), shift / np.where(spread > 0, spread, 1.0), 0.0)
     w = w * (tilt[..., None] * (x - centre[..., None]) + 1.0)
     out = (w * y[:, idx]).sum(2)
-    return np.where(usable, out, np.nan)
+    # where robust weights leave nothing in the window, the point stands for itself
+    return np.where(usable, out, y[:, at.astype(int) - 1])
 
 
 def _mean_filter(x: np.ndarray, width: int) -> np.ndarray:
@@ -65,7 +66,6 @@ def _seasonal_pass(d: np.ndarray, period: int, span: int, weights: np.ndarray |
         y = np.concatenate([d[:, p::period] for p in rows])
         w = None if weights is None else np.concatenate([weights[:, p::period] for p in rows])
         inner = _loess(y, span, np.arange(1.0, k + 1), w)
-        inner = np.where(np.isnan(inner), y, inner)
         # one step beyond either end uses the outermost window as it stands
         first = _edge(y, span, 0.0, 0, w, inner[:, 0])
         last = _edge(y, span, k + 1.0, max(0, k - span), w, inner[:, -1])

@@ -8,7 +8,7 @@ applied in turn share one shuffle, because they all partition by the series.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -225,25 +225,29 @@ def lag_weights(n: int = 30, kind: str = "almon", theta: tuple[float, float] = (
     return [v / total for v in raw]
 
 
-def mixed_frequency(df: DataFrame, weights: Sequence[float], to: str = "month", value: str = "value", name: str = "midas", newest_first: bool = True,
+def mixed_frequency(df: DataFrame, weights: Mapping[str, Sequence[float]], to: str = "month", value: str = "value", newest_first: bool = True,
                     key: str = "series_id", order: str = "period") -> DataFrame:
-    """(key, bucket start, weighted sum of the last len(weights) rows up to the bucket's end).
+    """(key, bucket start, one weighted sum per name): the last rows up to each bucket's end, dotted with the weights.
 
-    Lag 0 weighs the newest row; ``newest_first=False`` gives it to the oldest. Buckets
-    without rows repeat the last row before them; those with too short a history are left out.
+    All weightings have one length and share one pass. Lag 0 weighs the newest row;
+    ``newest_first=False`` gives it to the oldest. Buckets without rows repeat the last row
+    before them; those with too short a history are left out.
     """
-    n = len(weights)
+    n = len(next(iter(weights.values())))
     w = along(key, order)
     bucket = F.to_date(F.date_trunc(to, order))
     last = F.coalesce(F.lead(bucket).over(w) != bucket, F.lit(True))
     held = df.select(key, order, F.collect_list(value).over(w.rowsBetween(-(n - 1), 0)).alias("_v"), bucket.alias("bucket"), last.alias("_last")).filter("_last")
-    ordered = list(reversed(weights)) if newest_first else list(weights)
-    dot = F.aggregate(F.zip_with("_v", F.array(*[F.lit(x) for x in ordered]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    ends = held.select(key, "bucket", F.when(F.size("_v") == n, dot).alias("_dot"))
+
+    def dot(ws: Sequence[float]) -> Column:
+        ordered = list(reversed(ws)) if newest_first else list(ws)
+        return F.aggregate(F.zip_with("_v", F.array(*[F.lit(x) for x in ordered]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+    ends = held.select(key, "bucket", F.when(F.size("_v") == n, F.struct(*[dot(ws).alias(name) for name, ws in weights.items()])).alias("_dots"))
     span = ends.groupBy(key).agg(F.min("bucket").alias("_lo"), F.max("bucket").alias("_hi"))
     grid = span.select(key, F.explode(F.sequence("_lo", "_hi", F.expr(f"interval 1 {to}"))).alias("bucket"))
-    carried = F.last("_dot", ignorenulls=True).over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    return grid.join(ends, [key, "bucket"], "left").select(key, "bucket", carried.alias(name)).filter(F.col(name).isNotNull())
+    carried = F.last("_dots", ignorenulls=True).over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    return grid.join(ends, [key, "bucket"], "left").select(key, "bucket", carried.alias("_d")).filter(F.col("_d").isNotNull()).select(key, "bucket", "_d.*")
 
 
 def rolling_median_deviation(df: DataFrame, value: str = "value", width: int = 91, least: int = 15, key: str = "series_id", order: str = "period") -> DataFrame:

@@ -13,18 +13,16 @@ _P = "CAST(period AS VARCHAR) AS period"
 
 
 @query("jn1_combine_daily_sources", f"""
-WITH {DAILY_TOTAL}, span AS (SELECT min(period) AS lo, max(period) AS hi FROM daily_total), spine AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS period FROM span),
+WITH {DAILY_TOTAL}, span AS (SELECT series_id, min(period) AS lo, max(period) AS hi FROM daily_total GROUP BY 1), spine AS (SELECT series_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS period FROM span),
 ship AS (SELECT CAST(l_shipdate AS DATE) AS period, CAST(sum(CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS revenue FROM lineitem GROUP BY 1), {HOLIDAY_SQL}
-SELECT CAST(s.period AS VARCHAR) AS period, d.value, revenue, {r(temperature_sql('s.period'), 5)} AS temp, h.name AS holiday
-FROM spine s LEFT JOIN daily_total d ON d.period = s.period LEFT JOIN ship ON ship.period = s.period LEFT JOIN holidays h ON h.day = s.period""")
+SELECT s.series_id, CAST(s.period AS VARCHAR) AS period, d.value, revenue, {r(temperature_sql('s.period'), 5)} AS temp, h.name AS holiday
+FROM spine s LEFT JOIN daily_total d ON d.period = s.period AND d.series_id = s.series_id LEFT JOIN ship ON ship.period = s.period LEFT JOIN holidays h ON h.day = s.period""")
 def jn1(t):
-    d = daily_total(t)
-    spine = jn.spine(d, "daily")
+    d = jn.regular(daily_total(t), "daily").drop("n")
     ship = t.lineitem.groupBy(F.to_date("l_shipdate").alias("period")).agg((F.sum(revenue()).cast("double") / 100.0).alias("revenue"))
-    weather = spine.select("period", temperature(F.col("period")).alias("temp"))
     named = holidays(t.spark).select(F.col("day").alias("period"), F.col("name").alias("holiday"))
-    out = jn.combine_sources(spine, [d.select("period", "value"), ship, weather, F.broadcast(named)], ["period"])
-    return rounded(out.drop("series_id"), 5, value=2, revenue=2)
+    out = jn.combine_sources(d, [ship, F.broadcast(named)], ["period"])
+    return rounded(out.withColumn("temp", temperature(F.col("period"))), 5, value=2, revenue=2)
 
 
 @query("jn2_asof", """
@@ -63,16 +61,16 @@ def jn4(t):
 
 
 @query("jn5_events_with_daily_rows", f"""
-WITH {DAILY_TOTAL}, {_RUNS}, {MONTHLY}, ev AS (SELECT s - 10 AS s, e + 10 AS e FROM runs)
-SELECT CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", count(*) AS n_days, {r('avg(value)', 6)} AS mean_value, {r('avg(CAST(hol AS INTEGER))', 6)} AS holiday_rate, avg(CAST(hol AS INTEGER)) > 0.4 AS in_holiday
-FROM ev JOIN flagged f ON f.period BETWEEN s AND e GROUP BY s, e""")
+WITH {DAILY_TOTAL}, {_RUNS}, {MONTHLY}, ev AS (SELECT series_id, s - 10 AS s, e + 10 AS e FROM runs)
+SELECT ev.series_id, CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", count(*) AS n_days, {r('avg(value)', 6)} AS mean_value, {r('avg(CAST(hol AS INTEGER))', 6)} AS holiday_rate, avg(CAST(hol AS INTEGER)) > 0.4 AS in_holiday
+FROM ev JOIN flagged f ON f.series_id = ev.series_id AND f.period BETWEEN s AND e GROUP BY ev.series_id, s, e""")
 def jn5(t):
     days = daily_total(t).join(F.broadcast(holidays(t.spark).select(F.col("day").alias("period"), F.lit(True).alias("h"))), "period", "left")
     flagged = days.withColumn("is_holiday", F.coalesce("h", F.lit(False)))
     events = cal.islands(flagged.filter("is_holiday"), consecutive_days=True).select("series_id", F.date_sub("start", 10).alias("start"), F.date_add("end", 10).alias("end"))
     joined = jn.interval_join(flagged.select("series_id", "period", "value", "is_holiday"), events, ["series_id"], "period", "start", "end")
     rate = F.avg(F.col("is_holiday").cast("int"))
-    return rounded(joined.groupBy("start", "end").agg(F.count("*").alias("n_days"), F.avg("value").alias("mean_value"), rate.alias("holiday_rate"), (rate > 0.4).alias("in_holiday")), 6)
+    return rounded(joined.groupBy("series_id", "start", "end").agg(F.count("*").alias("n_days"), F.avg("value").alias("mean_value"), rate.alias("holiday_rate"), (rate > 0.4).alias("in_holiday")), 6)
 
 
 @query("jn6_nearest_festival", f"""

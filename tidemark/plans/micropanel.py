@@ -230,19 +230,23 @@ def trades(t):
                          F.floor(unit + 0.5).alias("price"), F.col("cents").alias("cost"), revenue().alias("income"))
 
 
+def _brands(t):
+    return t.part.select(F.col("p_brand").alias("commodity"))
+
+
 def _trade_sql(table, key, side):
-    return f"""WITH {TRADES}, s AS (SELECT {side} AS agent, commodity, count(*) AS n, avg(price) AS price, avg(cost) AS cost, avg(income) AS income FROM trades GROUP BY 1, 2), c AS (SELECT DISTINCT commodity FROM trades)
+    return f"""WITH {TRADES}, s AS (SELECT {side} AS agent, commodity, count(*) AS n, avg(price) AS price, avg(cost) AS cost, avg(income) AS income FROM trades GROUP BY 1, 2), c AS (SELECT DISTINCT p_brand AS commodity FROM part)
 SELECT a.{key} AS agent, c.commodity, coalesce(n, 0) AS n_sales, {r('price', 4)} AS price, {r('cost', 4)} AS cost, {r('income', 4)} AS income FROM {table} a CROSS JOIN c LEFT JOIN s ON s.agent = a.{key} AND s.commodity = c.commodity"""
 
 
 @query("ec15_seller_statistics", _trade_sql("supplier", "s_suppkey", "seller"))
 def ec15(t):
-    return rounded(mp.trade_statistics(trades(t), t.supplier.select(F.col("s_suppkey").alias("agent")), "agent", "seller"), 4)
+    return rounded(mp.trade_statistics(trades(t), t.supplier.select(F.col("s_suppkey").alias("agent")), _brands(t), "agent", "seller"), 4)
 
 
 @query("ec15_buyer_statistics", _trade_sql("customer", "c_custkey", "buyer"))
 def ec15_buyers(t):
-    return rounded(mp.trade_statistics(trades(t), t.customer.select(F.col("c_custkey").alias("agent")), "agent", "buyer"), 4)
+    return rounded(mp.trade_statistics(trades(t), t.customer.select(F.col("c_custkey").alias("agent")), _brands(t), "agent", "buyer"), 4)
 
 
 @query("ec16_order_depth", f"""

@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import growth
 from ..operators import models as md
 from ..operators import windows as wn
 from .calendars import holidays
@@ -75,8 +76,10 @@ _PANEL_COLS = ["prev_gdp", *[f"month{m}_{n}" for n in ("yoy", "cap_rate") for m
 
 def panel(t):
     m = wn.net_increment(monthly(t)).select("series_id", "period", wn.lag_growth("value", 12).alias("yoy"), F.col("capacity_change_rate").alias("cap_rate"))
-    q = t.lineitem.groupBy(F.lit("all").alias("series_id"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("quarter")).agg((F.sum(revenue()).cast("double") / 100.0).alias("v"))
-    return md.quarter_panel(m, q.select("quarter", wn.lag_growth("v", 4, order="quarter").alias("gdp")))
+    q = t.lineitem.groupBy(F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("quarter")).agg((F.sum(revenue()).cast("double") / 100.0).alias("v"))
+    before = q.select(F.add_months("quarter", 12).alias("quarter"), F.col("v").alias("v0"))
+    gdp = q.join(before, "quarter", "left").select("quarter", growth(F.col("v"), F.col("v0")).alias("gdp"))
+    return md.quarter_panel(m, gdp)
 
 
 @query("mdl5_quarter_panel", f"WITH {PANEL} SELECT series_id, CAST(quarter AS VARCHAR) AS quarter, {', '.join(f'{r(c, 5)} AS {c}' for c in _PANEL_COLS)} FROM panel")

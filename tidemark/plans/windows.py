@@ -1,7 +1,5 @@
 """WN: growth, smoothing, filling, outliers and mixed-frequency windows."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import joins as jn
@@ -125,8 +123,8 @@ def wn10(t):
 
 
 @query("wn11_auto_fill", f"""
-WITH {DAILY}, {DAILY_TOTAL}, span AS (SELECT min(period) AS lo, max(period) AS hi FROM daily_total),
-spine AS (SELECT 'all' AS series_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS period FROM span),
+WITH {DAILY_TOTAL}, span AS (SELECT series_id, min(period) AS lo, max(period) AS hi FROM daily_total GROUP BY 1),
+spine AS (SELECT series_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS period FROM span),
 g AS (SELECT s.series_id, s.period, d.value, d.n, CASE WHEN d.n IS NOT NULL THEN 'seen' END AS note FROM spine s LEFT JOIN daily_total d USING (series_id, period)),
 rate AS (SELECT 100.0 * count(*) FILTER (value IS NULL) / count(*) AS miss FROM g),
 {_interp_sql('value', _ROW_AT, 'g')}
@@ -239,9 +237,9 @@ c AS (SELECT g.series_id, g.bucket, {', '.join(f'last_value({k} IGNORE NULLS) OV
 SELECT series_id, CAST(bucket AS VARCHAR) AS bucket, {', '.join(f'{r(k, 3)} AS {k}' for k in (*_KINDS, 'almon_oldest_first'))} FROM c WHERE equal IS NOT NULL""")
 def wn17(t):
     d = daily(t)
-    parts = [wn.mixed_frequency(d, wn.lag_weights(30, k), name=k) for k in _KINDS]
-    parts.append(wn.mixed_frequency(d, wn.lag_weights(30, "almon"), name="almon_oldest_first", newest_first=False))
-    return rounded(reduce(lambda a, b: a.join(b, ["series_id", "bucket"]), parts), 3)
+    both = wn.mixed_frequency(d, {k: wn.lag_weights(30, k) for k in _KINDS})
+    oldest = wn.mixed_frequency(d, {"almon_oldest_first": wn.lag_weights(30, "almon")}, newest_first=False)
+    return rounded(both.join(oldest, ["series_id", "bucket"]), 3)
 
 
 @query("wn18_median_baseline", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "tidemark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -29,7 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the setting is absent (single-machine tests) is a local folder made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a result that several later branches read, and read it back.
+
+    For per-series intermediates whose fits would otherwise run once per branch. The table
+    lies in the shared folder, so losing an executor costs no refit.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

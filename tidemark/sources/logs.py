@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORLD_FIELDS = "step int, price double, n_products double"
+from ..operators.ordered import running
 
 
 def flatten_agents(logs: DataFrame, states: str = "states") -> DataFrame:
@@ -22,13 +22,11 @@ def flatten_world(logs: DataFrame, world: str = "world") -> DataFrame:
 def replay(trace: DataFrame, run: str, step: str, phase: str, acting: str = "act") -> tuple[DataFrame, DataFrame]:
     """(steps with the count of tool calls so far, one summary row per run).
 
-    The summary is an aggregate with partial sums; the running count is derived per
-    run from the step order.
+    The running count is summed in two levels, so one run that holds much of the trace is
+    not sorted in a single task.
     """
-    from pyspark.sql import Window
-
-    so_far = F.sum((F.col(phase) == acting).cast("long")).over(Window.partitionBy(run).orderBy(step))
-    steps = trace.withColumn("tool_calls_so_far", so_far)
+    marked = trace.select(run, step, phase, (F.col(phase) == acting).cast("long").alias("_call"))
+    steps = running(marked, [run], step, ["_call"]).select(run, step, phase, (F.col("before__call") + F.col("_call")).alias("tool_calls_so_far"))
     summary = trace.groupBy(run).agg(
         F.count("*").alias("n_steps"), F.count_if(F.col(phase) == acting).alias("tool_call_count"),
         F.min_by(phase, step).alias("first_phase"), F.max_by(phase, step).alias("last_phase"))

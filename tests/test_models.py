@@ -5,7 +5,6 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.operators import diagnose as dg
 from tidemark.operators import models as md

@@ -8,14 +8,13 @@ from ..operators import aggregates as ag
 from ..operators import calendar as cal
 from ..operators import decompose as dc
 from ..operators import joins as jn
-from ..operators import models as md
 from ..operators import windows as wn
 from .calendars import HOLIDAY_SQL, holidays
 from .decomposition import DEC
 from .models import ONE_FEATURE, one_feature_predictions
 from .rankings import TRIPLES, triples
 from .registry import query, rounded
-from .standins import DAILY, DAILY_GRID, DAILY_TOTAL, MONTHLY, W, cents, daily, daily_total, money, monthly, r, revenue, temperature, temperature_sql
+from .standins import DAILY, DAILY_GRID, DAILY_TOTAL, MONTHLY, W, cents, daily, daily_total, money, monthly, r, temperature, temperature_sql
 
 _P = "CAST(period AS VARCHAR) AS period"
 

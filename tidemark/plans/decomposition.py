@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..operators import confounders as cf
 from ..operators import decompose as dc
-from ..operators import joins as jn
 from ..operators import stl
 from ..operators import windows as wn
 from .calendars import festival_ranges, holidays

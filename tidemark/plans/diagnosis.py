@@ -1,6 +1,5 @@
 """DGN: causes, explanations, divergence and verdicts."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
@@ -14,7 +13,7 @@ from .calendars import FESTIVAL_SQL, festival_ranges
 from .decomposition import SCAN
 from .rankings import _DEVIATION, _records
 from .registry import query, rounded
-from .standins import MONTHLY, QUARTERLY, W, daily, money, monthly, quarterly, r, revenue
+from .standins import MONTHLY, QUARTERLY, W, monthly, quarterly, r, revenue
 
 _P = "CAST(period AS VARCHAR) AS period"
 _CAL = f"{_DAYS}, cal AS (SELECT CAST(date_trunc('month', day) AS DATE) AS period, count(*) FILTER (name = '春节') AS festival_days, sum(is_holiday) AS holiday_break_days FROM days GROUP BY 1)"

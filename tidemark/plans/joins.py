@@ -7,7 +7,7 @@ from ..operators import joins as jn
 from .calendars import FESTIVAL_SQL, HOLIDAY_SQL, festival_ranges, holidays
 from .rankings import TRIPLES, nodes, triples
 from .registry import query, rounded
-from .standins import DAILY, DAILY_TOTAL, MONTHLY, QUARTERLY, cents, daily, daily_total, money, monthly, quarterly, r, revenue, temperature, temperature_sql
+from .standins import DAILY_TOTAL, MONTHLY, QUARTERLY, daily_total, money, monthly, quarterly, r, revenue, temperature, temperature_sql
 
 _P = "CAST(period AS VARCHAR) AS period"
 

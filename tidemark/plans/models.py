@@ -9,7 +9,7 @@ from ..operators import models as md
 from ..operators import windows as wn
 from .calendars import holidays
 from .registry import query, rounded
-from .standins import MONTHLY, W, cents, daily, frame, money, monthly, r, revenue, temperature, temperature_sql
+from .standins import MONTHLY, W, cents, daily, frame, monthly, r, revenue, temperature, temperature_sql
 
 _P = "CAST(period AS VARCHAR) AS period"
 _TEMP_SQL = temperature_sql("CAST(period + INTERVAL 14 DAY AS DATE)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as num
 from ..operators import rankings as rk
 from .registry import query, rounded
-from .standins import MONTHLY, QUARTERLY, W, cents, money, monthly, quarterly, r
+from .standins import MONTHLY, QUARTERLY, W, money, monthly, quarterly, r
 
 _P = "CAST(period AS VARCHAR) AS period"
 _DEVIATION = f"{MONTHLY}, dev AS (SELECT series_id, period, value, value / avg(value) OVER (PARTITION BY series_id) - 1 AS x FROM monthly)"

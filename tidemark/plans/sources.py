@@ -4,13 +4,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import periods as per
 from ..operators import joins as jn
 from ..operators import series as ser
 from ..session import shared_dir
 from ..sources import csv, documents, logs, profile
 from .registry import query, rounded
-from .standins import DAILY_TOTAL, HOURLY, MONTHLY, QUARTERLY, cents, daily_total, hourly, money, monthly, quarterly, r
+from .standins import DAILY_TOTAL, HOURLY, MONTHLY, QUARTERLY, daily_total, hourly, money, monthly, quarterly, r
 
 
 @query("src1_csv_scan", """

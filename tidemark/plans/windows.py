@@ -6,7 +6,7 @@ from ..operators import joins as jn
 from ..operators import ordered as od
 from ..operators import windows as wn
 from .registry import query, rounded
-from .standins import DAILY, DAILY_GRID, DAILY_TOTAL, HOURLY, MONTHLY, QUARTERLY, W, daily, daily_total, frame, hourly, money, monthly, quarterly, r
+from .standins import DAILY, DAILY_GRID, DAILY_TOTAL, HOURLY, MONTHLY, QUARTERLY, W, daily, daily_total, frame, hourly, monthly, quarterly, r
 
 _P = "CAST(period AS VARCHAR) AS period"
 

@@ -11,11 +11,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams, tokens
+from ..session import stage
 
 # Term saturation and length weight of the ranking.
 K1, B = 1.5, 0.75
 DIM = 512
 CHUNK = 2048  # queries held in a task at a time
+SMALL = 200_000  # rows up to which a query-side table is broadcast
 
 
 def by_document(df: DataFrame, doc: str, text: Column) -> DataFrame:
@@ -24,6 +26,11 @@ def by_document(df: DataFrame, doc: str, text: Column) -> DataFrame:
     return df.select(F.col(doc), text.alias("_text")).repartition(n, doc)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """Marked for broadcast when a bounded count shows at most ``rows`` rows; otherwise joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _best(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:
     """The k best per query; near-equal scores (1e-9) go by document."""
     w = Window.partitionBy(query).orderBy(F.round("score", 9).desc(), doc)
@@ -33,22 +40,25 @@ def _best(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:
 def bm25(documents: DataFrame, doc: str, text: Column, queries: DataFrame, query: str, query_text: Column, k: int = 4) -> DataFrame:
     """(query, doc, score, rank): repeated query terms count as often as they occur.
 
-    Tokens are cut to the query vocabulary before anything is shuffled on terms; document
-    length travels with the token. A term in a third of all documents is a skewed join key
-    that adaptive execution may split, and pair scores are summed before the shuffle.
+    One pass over the text writes the postings of the query vocabulary to the shared
+    folder; counts, lengths and scores are read from there. An empty term, which no text
+    yields, marks every document once, so the documents without a hit are counted too.
+    Query-side tables of checked size are broadcast, so a term in a third of all documents
+    is no shuffle key; beyond that size adaptive execution may split it. Pair scores are
+    summed before the shuffle.
     """
-    asked = queries.select(F.col(query), F.explode(tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("_times"))
-    vocabulary = asked.select("term").distinct()
-    cut = by_document(documents, doc, text).select(doc, tokens(F.col("_text")).alias("_t")).withColumn("_len", F.size("_t"))
-    size = cut.agg(F.struct(F.count("*").alias("n"), F.coalesce(F.avg("_len"), F.lit(1.0)).alias("avg")).alias("s")).scalar()
-    held = cut.select(doc, "_len", F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
-    tf = held.groupBy(doc, "_len", "term").agg(F.count("*").alias("_tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("_df"))
-    weights = asked.join(df, "term").withColumn("_size", size)
+    asked = stage(queries.select(F.col(query), F.explode(tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("_times")))
+    vocabulary = asked.select("term").distinct().unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term")))
+    cut = by_document(documents, doc, text).select(doc, tokens(F.col("_text")).alias("_t"))
+    held = cut.select(doc, F.size("_t").alias("_len"), F.explode(F.array_append("_t", F.lit(""))).alias("term")).join(broadcast_if_small(vocabulary), "term", "left_semi")
+    postings = stage(held.groupBy(doc, "_len", "term").agg(F.count("*").alias("_tf")))
+    size = postings.filter("term = ''").agg(F.struct(F.count("*").alias("n"), F.coalesce(F.avg("_len"), F.lit(1.0)).alias("avg")).alias("s")).scalar()
+    tf = postings.filter("term <> ''")
+    weights = asked.join(tf.groupBy("term").agg(F.count("*").alias("_df")), "term").withColumn("_size", size)
     idf = F.ln(1 + (F.col("_size.n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     weights = weights.select(query, "term", (F.col("_times") * idf).alias("_w"), F.col("_size.avg").alias("_avg"))
     part = F.col("_w") * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    scores = tf.join(weights, "term").groupBy(query, doc).agg(F.sum(part).alias("score"))
+    scores = tf.join(broadcast_if_small(weights), "term").groupBy(query, doc).agg(F.sum(part).alias("score"))
     return _best(scores.filter("score > 0"), query, doc, k)
 
 

@@ -39,19 +39,26 @@ def test_quantiles_of_one_repeated_value(spark):
 
 def test_running_totals(skewed):
     pdf, df = skewed
-    got = od.running(od.value_counts(df, ["key"], "value"), ["key"], "value", ["c"], df, ranges=7).toPandas()
+    got = od.running(od.value_counts(df, ["key"], "value"), ["key"], "value", ["c"], df, rows=len(pdf) // 7).toPandas()
     counts = pdf.groupby(["key", "value"]).size().rename("c").reset_index().sort_values(["key", "value"])
     counts["before"] = counts.groupby("key").c.cumsum() - counts.c
     merged = got.merge(counts, on=["key", "value"])
     assert len(merged) == len(got) == len(counts) and (merged.before_c == merged.before).all()
 
 
+def test_more_rows_make_more_ranges(skewed):
+    _, df = skewed
+    few, many = (len(od._ranges(df, "value", rows)) for rows in (10**9, 20))
+    assert few == 2 and many > 10
+
+
 @pytest.mark.parametrize("size", [2, 29, 30, 200])
 def test_gini(spark, size):
     rng = np.random.default_rng(size)
     x = np.round(rng.pareto(1.5, size) * 10, 1)
     df = spark.createDataFrame([("g", float(v)) for v in x], "g string, v double")
-    got = mp.gini(df, ["g"], "v").first().gini
+    got = mp.gini(df, ["g"], "v", 30).first().gini
+    assert mp.gini(df, ["g"], "v").first().gini == pytest.approx(1 - 2 / (size + 1) * np.sum(np.cumsum(np.sort(x)) / (x.sum() + 1e-10)))
     if size < 30:
         want = np.abs(x[:, None] - x[None]).sum() / (2 * size * x.sum() + 1e-10) / ((size - 1) / size)
     else:
@@ -106,6 +113,24 @@ def test_nearest_start_prefers_the_earlier(spark):
     assert got == {"2024-01-06": 5, "2024-12-31": -5}
 
 
+def test_nearest_start_reaches_any_distance(spark):
+    far = ("1950-06-01", "1993-03-01", "1995-01-01", "1998-01-01", "2003-05-01", "2040-01-01")
+    days = spark.createDataFrame([(d,) for d in far], "d string").select(F.col("d").cast("date").alias("d"))
+    starts = spark.createDataFrame([("1995-01-30",), ("2001-01-23",), (None,)], "s string").select(F.col("s").cast("date").alias("s"))
+    import datetime
+    known = [datetime.date(1995, 1, 30), datetime.date(2001, 1, 23)]
+    want = {d: min(((datetime.date.fromisoformat(d) - s).days for s in known), key=abs) for d in far}
+    assert {str(r.d): r.days_to_start for r in jn.nearest_start(days, "d", starts, "s").collect()} == want
+    assert jn.nearest_start(days, "d", starts.limit(0), "s").filter("days_to_start IS NULL").count() == len(far)
+
+
+def test_asof_join_without_keys(spark):
+    left = spark.range(0, 60).select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 3).cast("int")).alias("d"))
+    right = spark.createDataFrame([("2024-01-20", 1), ("2024-01-25", 2), ("2024-04-02", 3)], "d string, v int").select(F.col("d").cast("date").alias("d"), "v")
+    got = {str(r.d): r.v for r in jn.asof_join(left, right, [], "d", ["v"]).collect()}
+    assert len(got) == 60 and all(v == (1 if d < "2024-01-25" else 2 if d < "2024-04-02" else 3) for d, v in got.items())
+
+
 def test_brackets_share_end_points(spark):
     df = spark.createDataFrame([(0.0,), (5.0,), (10.0,), (11.0,)], "v double")
     name = jn.bracket_of(F.col("v"), [(0.0, 5.0, "low"), (5.0, 10.0, "high")])
@@ -119,11 +144,11 @@ def test_cosine_against_numpy(spark):
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "q long, w array<double>")
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     want = {i: list(np.argsort(-row)[:5]) for i, row in enumerate(unit(q) @ unit(x).T)}
-    saved, rt.CHUNK = rt.CHUNK, 3  # more than one block of queries
+    saved, rt.BLOCK = rt.BLOCK, 3  # more than one block of queries
     try:
         got = rt.cosine_topk(vectors, "id", ["v"], asked, "q", ["w"], 5).toPandas()
     finally:
-        rt.CHUNK = saved
+        rt.BLOCK = saved
     assert {k: g.sort_values("rank").id.to_list() for k, g in got.groupby("q")} == want
 
 

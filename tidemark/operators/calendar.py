@@ -64,7 +64,7 @@ def weekday_adjust(df: DataFrame, value: str = "value", name: str = "adjusted",
 
 def calendar_days(days: DataFrame, holidays: DataFrame, day: str = "day") -> DataFrame:
     """Day table with weekend, holiday, working-day marks; a holiday on a weekday is a break day."""
-    named = days.join(F.broadcast(holidays), day, "left")
+    named = days.join(holidays, day, "left")
     weekend = F.weekday(day) >= 5
     return named.select(
         "*", weekend.cast("int").alias("is_weekend"), F.col("name").isNotNull().cast("int").alias("is_holiday"),

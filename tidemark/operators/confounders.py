@@ -29,7 +29,7 @@ def daily_inputs(daily: DataFrame, holidays: DataFrame, festivals: DataFrame, te
     named = holidays.select(F.col("day").alias("period"), F.lit(1).alias("is_holiday"))
     temp = temperature(F.col("period"))
     hdd, cdd = degree_days(temp, base - 8, base + 6)
-    facts = near.join(F.broadcast(named), "period", "left").select(
+    facts = near.join(named, "period", "left").select(
         "period", cdd.alias("cdd"), hdd.alias("hdd"), (F.weekday("period") >= 5).cast("int").alias("is_weekend"),
         F.coalesce("is_holiday", F.lit(0)).alias("is_holiday"), "days_to_start")
     return daily.filter(F.col("value") > 0).select("series_id", "period", "value", F.ln("value").alias("log_value")).join(facts, "period", "left")

@@ -78,11 +78,11 @@ def summary(dec: DataFrame, key: str = "series_id", order: str = "period") -> Da
     return out.withColumn("trend_change", F.coalesce(change, F.lit(0.0))).withColumn("endpoint_warning", F.col("n") < 3 * F.col("cycle")).drop("cycle", "growth_pct", "annualised_pct", "start", "end")
 
 
-def scan(dec: DataFrame, freq: str = "monthly", high: float = HIGH, medium: float = MEDIUM, most: int | None = 15,
+def scan(dec: DataFrame, freq: str = "monthly", high: float = HIGH, medium: float = MEDIUM, most: int | None = None,
          key: str = "series_id", order: str = "period") -> DataFrame:
     """Points whose residual share reaches ``medium``: level, direction, robust z, growth on last year, risks, rank by size.
 
-    ``most`` is the report length per series; None keeps every point.
+    ``most`` is the report length per series; without it every point is kept.
     """
     lag = {"monthly": 12, "quarterly": 4, "annual": 1, "weekly": 52, "daily": 365, "hourly": 24 * 365}[freq]
     held = dec.withColumn("yoy", growth(F.col("value"), F.lag("value", lag).over(along(key, order)), percent=False))

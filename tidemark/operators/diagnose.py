@@ -144,7 +144,7 @@ def diagnose_events(events: DataFrame, graph: DataFrame) -> DataFrame:
     places = graph.filter(F.col("rel") == "explained_by").select("src", F.col("dst").alias("mid"), "position")
     per_sign = paths.join(places, ["src", "mid"]).groupBy(F.col("src").alias("signature")).agg(
         F.count_distinct("mid").alias("n_causes"), F.min_by("mid", "position").alias("top_cause"), F.min_by("dst", "position").alias("indicator"))
-    out = named.join(F.broadcast(per_sign), "signature", "left")
+    out = named.join(per_sign, "signature", "left")
     pmi, dev = F.col("avg_pmi"), F.col("mean_deviation")
     note = (F.when(pmi.isNull(), "no_macro_data").when((pmi < 50) & (dev < 0), "confirms_weak_demand").when((pmi >= 50) & (dev > 0), "confirms_expansion").otherwise("directions_differ"))
     confidence = F.when(F.col("near_festival"), "low").when(F.abs("magnitude_pct") > 8, "high").otherwise("medium")

@@ -62,17 +62,27 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, val
               bucket: str = "month", backfill: bool = True) -> DataFrame:
     """Latest right row at or before each left row; with ``backfill`` earlier left rows take the first right row.
 
-    The right side becomes validity intervals with one ``lead``; the left side is never
-    sorted, so a key holding a third of all rows spreads over its time buckets. Several
+    The right side becomes validity intervals; the left side is never sorted, so a key
+    holding a third of all rows spreads over its time buckets. The right side is cut into
+    the same buckets: each row ends where the next one of its bucket begins, the last of a bucket where the
+    next bucket with rows begins, which a list of one row per key and bucket tells. So no key, and
+    without ``keys`` not the whole right side, is sorted in one task. Several
     right rows at one instant: the greatest value tuple wins, as the last one sorted.
     """
-    latest = right.groupBy(*keys, time).agg(F.max(F.struct(*values)).alias("_v"))
-    order = Window.partitionBy(*keys).orderBy(time) if keys else Window.orderBy(time)
+    latest = right.groupBy(*keys, time).agg(F.max(F.struct(*values)).alias("_v")).withColumn("_b", F.date_trunc(bucket, time))
+    firsts = latest.groupBy(*keys, "_b").agg(F.min(time).alias("_least"))
+    along_buckets = Window.partitionBy(*keys).orderBy("_b")
+    firsts = firsts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_ob"), F.lead("_least").over(along_buckets).alias("_next"), (F.row_number().over(along_buckets) == 1).alias("_opens"), "_least")
+    on = F.col("_b") == F.col("_ob")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    order = Window.partitionBy(*keys, "_b").orderBy(time)
     # both ends of the left side bound the first and the last interval
     ends = left.agg(F.struct(F.min(time).alias("lo"), F.max(time).alias("hi")).alias("s")).scalar()
     spans = (
-        latest.withColumn("_until", F.lead(time).over(order))
-        .withColumn("_first", F.row_number().over(order) == 1)
+        latest.withColumn("_then", F.lead(time).over(order)).join(firsts, on)
+        .withColumn("_until", F.coalesce("_then", "_next"))
+        .withColumn("_first", F.col("_opens") & (F.col(time) == F.col("_least")))
         .withColumn("_ends", ends)
         .withColumn("_from", F.when(F.col("_first") & F.lit(backfill), F.least(F.col(time), F.col("_ends.lo"))).otherwise(F.col(time)))
         # an interval that starts after the last left row is useless; one past the last row closes the open end
@@ -89,15 +99,27 @@ def align(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> Da
 
 
 def nearest_start(days: DataFrame, day: str, starts: DataFrame, start: str) -> DataFrame:
-    """Signed days to the closest start of any year, the earlier one on a tie.
+    """Signed days to the closest start of any year, the earlier one on a tie; NULL only if there is no start at all.
 
-    The closest start lies in the neighbouring years, so each start is offered to three
-    years and the join stays an equi-join; ``days`` is a calendar, not a fact table.
+    Days and starts are laid on one axis, cut into decades. Within a decade the start before and the one after are
+    carried along; the ends of a decade come from a list of one row per decade.
     """
-    offered = starts.select(F.explode(F.sequence(F.year(start) - 1, F.year(start) + 1)).alias("_year"), F.col(start).alias("_start"))
-    paired = days.withColumn("_year", F.year(day)).join(offered, "_year", "left")
-    gap = F.datediff(F.col(day), F.col("_start"))
-    return paired.groupBy(*days.columns).agg(F.min_by(gap, F.struct(F.abs(gap), F.col("_start"))).alias("days_to_start"))
+    decade = lambda c: F.floor(F.year(c) / 10)
+    marks = starts.select(F.col(start).cast("date").alias("_start")).filter("_start IS NOT NULL").distinct()
+    axis = marks.groupBy(decade("_start").alias("_d")).agg(F.min("_start").alias("_lo"), F.max("_start").alias("_hi"))
+    # one row per decade of the calendar
+    every = days.select(decade(day).alias("_d")).union(axis.select("_d")).distinct().join(axis, "_d", "left")
+    order = Window.orderBy("_d")
+    ends = every.select(
+        "_d", F.last("_hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    laid = days.withColumns({"_at": F.col(day).cast("date"), "_start": F.lit(None).cast("date")}).unionByName(marks.withColumn("_at", F.col("_start")), allowMissingColumns=True)
+    w = Window.partitionBy("_d").orderBy("_at")
+    laid = laid.withColumn("_d", decade("_at")).withColumn("_back", F.max("_start").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    laid = laid.withColumn("_on", F.min("_start").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    out = laid.filter("_start IS NULL").join(ends, "_d", "left")
+    back, on = F.datediff("_at", F.coalesce("_back", "_before")), F.datediff("_at", F.coalesce("_on", "_after"))
+    return out.select(*days.columns, F.when(on.isNull() | (back <= -on), back).otherwise(on).alias("days_to_start"))
 
 
 def same_year_offset(days: DataFrame, day: str, starts: DataFrame, start: str, absent: int = 999, window: int = 15) -> DataFrame:

@@ -110,7 +110,7 @@ def apply_corrections(daily: DataFrame, holidays: DataFrame, method: str = "piec
     step = temperature_correct(daily, fit_temperature(daily, method, key=key, order=order, value=value, temp=temp), key=key, value=value, temp=temp)
     step = stage(step.withColumnRenamed("corrected", "temp_corrected").drop("temp_effect"))
     named = holidays.select(F.col("day").alias(order), F.lit(True).alias("_h"))
-    step = step.join(F.broadcast(named), order, "left").withColumn("is_holiday", F.coalesce("_h", F.lit(False))).drop("_h")
+    step = step.join(named, order, "left").withColumn("is_holiday", F.coalesce("_h", F.lit(False))).drop("_h")
     step = stage(cal.smooth_holidays(step, "is_holiday", "temp_corrected", "holiday_smoothed", key=key, order=order))
     step = cal.weekday_adjust(step, "holiday_smoothed", "weekday_adjusted", key, order)
     return step.withColumn("final_corrected", F.col("weekday_adjusted"))

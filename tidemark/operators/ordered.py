@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+ROWS = 100_000  # rows that one range shall hold
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, extra: dict[str, object] | None = None) -> DataFrame:
@@ -23,24 +23,28 @@ def value_counts(df: DataFrame, keys: list[str], value: str, extra: dict[str, ob
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"), *more)
 
 
-def _ranges(source: DataFrame, value: str, ranges: int) -> list[float]:
-    """Split points of about equal weight: one small sketch of at most ``ranges`` numbers comes to the driver.
+def _ranges(source: DataFrame, value: str, rows: int) -> list[float]:
+    """Split points of about equal weight, one for every ``rows`` rows: only they come to the driver.
 
     Being literals in the plan they are the same in every stage and every retry.
     """
+    ranges = max(1, -(-source.count() // rows))
+    if ranges == 1:
+        return [float("-inf"), float("inf")]
     probs = [i / ranges for i in range(1, ranges)]
     points = source.select(F.col(value).cast("double").alias("_x")).approxQuantile("_x", probs, 0.5 / ranges)
     return [float("-inf"), *sorted(set(points)), float("inf")]
 
 
 def running(counts: DataFrame, keys: list[str], value: str, sums: list[str], source: DataFrame | None = None,
-            ranges: int = RANGES) -> DataFrame:
+            rows: int = ROWS) -> DataFrame:
     """Adds ``before_<s>`` (sum over smaller values) and ``all_<s>`` (sum over the group) for each column in ``sums``.
 
     ``counts`` has one row per (keys, value). ``source`` is what the split points are
-    sketched from, by default ``counts`` itself.
+    sketched from, by default ``counts`` itself; a range holds about ``rows`` of its rows,
+    so their number grows with the data.
     """
-    splits = _ranges(source if source is not None else counts, value, ranges)
+    splits = _ranges(source if source is not None else counts, value, rows)
     held = counts.withColumn("_x", F.col(value).cast("double"))
     if len(splits) > 2:
         held = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(held)
@@ -49,7 +53,7 @@ def running(counts: DataFrame, keys: list[str], value: str, sums: list[str], sou
     totals = held.groupBy(*keys, "_b").agg(*[F.sum(s).alias(s) for s in sums])
     below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
-    # at most ``ranges`` rows per group reach this window
+    # one row per range and group reaches this window
     offsets = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_ob"),
         *[F.coalesce(F.sum(s).over(below), F.lit(0)).alias(f"_off_{s}") for s in sums], *[F.sum(s).over(every).alias(f"all_{s}") for s in sums])

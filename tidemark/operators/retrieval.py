@@ -1,34 +1,47 @@
-"""Keyword ranking, hashed n-gram vectors and cosine search, many queries at once."""
+"""Keyword ranking, hashed n-gram vectors and cosine search, many queries at once.
+
+Texts and vectors are never moved: a task takes them as the scan gives them, and the queries come to the
+task, block by block, from a table in the shared folder. What is shuffled are the k
+best per query of each batch.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, tokens
-from ..session import stage
+from ..functions.text import SPACE_RUN, tokens
+from ..session import shared_dir
 
 # Term saturation and length weight of the ranking.
 K1, B = 1.5, 0.75
 DIM = 512
-CHUNK = 2048  # queries held in a task at a time
-SMALL = 200_000  # rows up to which a query-side table is broadcast
+BLOCK = 256  # queries that a task holds at a time
 
 
-def by_document(df: DataFrame, doc: str, text: Column) -> DataFrame:
-    """(doc, _text) spread by document over a stated number of partitions: few bytes of text make much work."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(F.col(doc), text.alias("_text")).repartition(n, doc)
+def _shared(df: DataFrame) -> str:
+    """Write a table to the shared folder; its URI."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return path if ":" in path.split("/")[0] else f"file://{path}"
 
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """Marked for broadcast when a bounded count shows at most ``rows`` rows; otherwise joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _blocks(uri: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """A staged table in bounded batches, read inside a task."""
+    store, base = fs.FileSystem.from_uri(uri)
+    for batch in ds.dataset(base, filesystem=store, format="parquet").to_batches(batch_size=rows):
+        if batch.num_rows:
+            yield batch
 
 
 def _best(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:
@@ -37,96 +50,129 @@ def _best(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _kept(score: np.ndarray, names: np.ndarray, k: int, positive: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(query row, positions of its k best): a partition by score, then only what reaches the k-th is sorted."""
+    for q, row in enumerate(score):
+        at = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+        if positive:
+            at = at[row[at] > 0]
+        if len(at):
+            yield q, at[np.lexsort((names[at], -row[at]))[:k]]
+
+
 def bm25(documents: DataFrame, doc: str, text: Column, queries: DataFrame, query: str, query_text: Column, k: int = 4) -> DataFrame:
     """(query, doc, score, rank): repeated query terms count as often as they occur.
 
-    One pass over the text writes the postings of the query vocabulary to the shared
-    folder; counts, lengths and scores are read from there. An empty term, which no text
-    yields, marks every document once, so the documents without a hit are counted too.
-    Query-side tables of checked size are broadcast, so a term in a third of all documents
-    is no shuffle key; beyond that size adaptive execution may split it. Pair scores are
-    summed before the shuffle.
+    One aggregate gives the number of texts per term, with the counts of a task combined before the shuffle; the
+    terms of each query with their weights go to the shared folder. A task then counts
+    the terms of its own texts and scores them against all queries; a text without a term of the query has no score.
     """
-    asked = stage(queries.select(F.col(query), F.explode(tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("_times")))
-    vocabulary = asked.select("term").distinct().unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term")))
-    cut = by_document(documents, doc, text).select(doc, tokens(F.col("_text")).alias("_t"))
-    held = cut.select(doc, F.size("_t").alias("_len"), F.explode(F.array_append("_t", F.lit(""))).alias("term")).join(broadcast_if_small(vocabulary), "term", "left_semi")
-    postings = stage(held.groupBy(doc, "_len", "term").agg(F.count("*").alias("_tf")))
-    size = postings.filter("term = ''").agg(F.struct(F.count("*").alias("n"), F.coalesce(F.avg("_len"), F.lit(1.0)).alias("avg")).alias("s")).scalar()
-    tf = postings.filter("term <> ''")
-    weights = asked.join(tf.groupBy("term").agg(F.count("*").alias("_df")), "term").withColumn("_size", size)
-    idf = F.ln(1 + (F.col("_size.n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weights = weights.select(query, "term", (F.col("_times") * idf).alias("_w"), F.col("_size.avg").alias("_avg"))
-    part = F.col("_w") * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    scores = tf.join(broadcast_if_small(weights), "term").groupBy(query, doc).agg(F.sum(part).alias("score"))
-    return _best(scores.filter("score > 0"), query, doc, k)
-
-
-def hashed_vectors(df: DataFrame, doc: str, text: Column, dim: int = DIM) -> DataFrame:
-    """(doc, bucket, weight): n-gram counts in ``dim`` buckets of a portable hash, scaled to length one.
-
-    Distinct n-grams per document are counted before hashing, so the digest runs once per
-    different n-gram and not once per occurrence. The text is placed by document first:
-    every later step groups within that placing, so n-grams themselves are not shuffled.
+    held = documents.select(F.col(doc), tokens(text).alias("_t"))
+    size = held.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("_t")), F.lit(1.0)).alias("avg")).first()
+    asked = queries.select(F.col(query), F.explode(tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("_times"))
+    seen = held.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("_df"))
+    weight = F.col("_times") * F.ln(1 + (F.lit(size["n"]) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    # a query's terms are bounded by its own text
+    weights = asked.join(seen, "term").groupBy(query).agg(F.collect_list(F.struct("term", weight.alias("w"))).alias("terms"))
+    uri, average = _shared(weights.select(F.col(query).alias("q"), F.col("terms.term").alias("term"), F.col("terms.w").alias("w"))), size["avg"]
+    kinds, names = dict(documents.dtypes), dict(queries.dtypes)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                part = whole.slice(a, 1000)
+                listed = part.column(1)
+                length = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                owner, words = np.repeat(np.arange(len(part)), length), listed.flatten()
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                for block in _blocks(uri, BLOCK):
+                    terms = block.column(1)
+                    known = pc.unique(terms.flatten())
+                    at = pc.index_in(words, known).fill_null(-1).to_numpy(zero_copy_only=False)
+                    cell, tf = np.unique((owner * len(known) + at)[at >= 0], return_counts=True)
+                    d, term = cell // len(known), cell % len(known)
+                    sat = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / average))
+                    # the queries of every term, one after another
+                    own = np.repeat(np.arange(len(block)), terms.value_lengths().to_numpy(zero_copy_only=False))
+                    of = pc.index_in(terms.flatten(), known).to_numpy(zero_copy_only=False)
+                    order = np.argsort(of, kind="stable")
+                    own, w = own[order], block.column(2).flatten().to_numpy(zero_copy_only=False)[order]
+                    first = np.searchsorted(of[order], np.arange(len(known) + 1))
+                    many = np.diff(first)[term]
+                    pair = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[:-1][term], many)
+                    score = np.bincount(own[pair] * len(part) + np.repeat(d, many), np.repeat(sat, many) * w[pair], len(block) * len(part)).reshape(len(block), len(part))
+                    rows = [(q, best) for q, best in _kept(np.round(score, 9), ids, k, True)]
+                    if rows:
+                        qs = np.repeat([q for q, _ in rows], [len(b) for _, b in rows])
+                        ds_ = np.concatenate([b for _, b in rows])
+                        yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(qs)), part.column(0).take(pa.array(ds_)), pa.array(score[qs, ds_])], names=[query, doc, "score"])
+
+    return _best(held.mapInArrow(local, f"{query} {names[query]}, {doc} {kinds[doc]}, score double"), query, doc, k)
+
+
+def packed(df: DataFrame, doc: str, text: Column, dim: int = DIM) -> DataFrame:
+    """(doc, buckets, weights): counts of characters and of pairs of them in ``dim`` buckets of a portable hash, scaled to length one.
+
+    Counted row by row within the scan. A text without characters has no row.
     """
-    grams = by_document(df, doc, text).select(doc, F.explode(char_ngrams(F.col("_text"))).alias("_g")).groupBy(doc, "_g").agg(F.count("*").alias("_c"))
-    bucket = (F.conv(F.substring(F.md5("_g"), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    cells = grams.groupBy(doc, bucket.alias("bucket")).agg(F.sum("_c").cast("double").alias("_c"))
-    # at most ``dim`` rows per document reach this window
-    norm = F.sqrt(F.sum(F.col("_c") * F.col("_c")).over(Window.partitionBy(doc)))
-    return cells.select(doc, "bucket", (F.col("_c") / norm).alias("weight"))
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[str, int] = {}
+        for batch in batches:
+            ids, where, what = [], [], []
+            for n, t in enumerate(batch.column(1).to_pylist()):
+                if not t:
+                    continue
+                cells = np.zeros(dim)
+                for gram, c in (Counter(t) + Counter(map(str.__add__, t, t[1:]))).items():
+                    if gram not in place:
+                        place[gram] = int(hashlib.md5(gram.encode()).hexdigest()[:8], 16) % dim
+                    cells[place[gram]] += c
+                at = np.flatnonzero(cells)
+                ids.append(n)
+                where.append(at)
+                what.append(cells[at] / np.sqrt((cells * cells).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(where, pa.list_(pa.int32())), pa.array(what, pa.list_(pa.float64()))], names=[doc, "buckets", "weights"])
 
+    squeezed = df.select(F.col(doc), F.regexp_replace(text, SPACE_RUN, "").alias("_t"))
+    return squeezed.mapInArrow(local, f"{doc} {dict(df.dtypes)[doc]}, buckets array<int>, weights array<double>")
 
-def packed(cells: DataFrame, doc: str) -> DataFrame:
-    """Cells of a document as two parallel arrays; at most the vector's length is gathered for each."""
-    held = cells.groupBy(doc).agg(F.collect_list(F.struct("bucket", "weight")).alias("_c"))
-    return held.select(doc, F.col("_c.bucket").alias("buckets"), F.col("_c.weight").alias("weights"))
 
+def hashed_vectors(df: DataFrame, doc: str, text: Column, dim: int = DIM) -> DataFrame:
+    """(doc, bucket, weight): the cells of :func:`packed`, one per row."""
+    cell = F.explode(F.arrays_zip("buckets", "weights"))
+    return packed(df, doc, text, dim).select(doc, cell.alias("_c")).select(doc, F.col("_c.buckets").alias("bucket"), F.col("_c.weights").alias("weight"))
 
-def _matrix(pdf: pd.DataFrame, columns: list[str], dim: int) -> np.ndarray:
+
+def _matrix(columns: list[pa.Array], dim: int) -> np.ndarray:
     """Rows of unit length from dense arrays, or from (positions, weights) arrays."""
     if len(columns) == 1:
-        x = np.array(pdf[columns[0]].to_list(), dtype=float)
+        x = np.array(columns[0].to_pylist(), dtype=float)
     else:
-        x = np.zeros((len(pdf), dim))
-        for i, (at, w) in enumerate(zip(pdf[columns[0]], pdf[columns[1]])):
-            x[i, at] = w
+        x = np.zeros((len(columns[0]), dim))
+        row = np.repeat(np.arange(len(x)), columns[0].value_lengths().to_numpy(zero_copy_only=False))
+        x[row, columns[0].flatten().to_numpy(zero_copy_only=False)] = columns[1].flatten().to_numpy(zero_copy_only=False)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def cosine_topk(vectors: DataFrame, doc: str, vector: list[str], queries: DataFrame, query: str, query_vector: list[str], k: int = 4, dim: int = DIM) -> DataFrame:
     """(query, doc, score, rank) by cosine, exact. A vector is one dense array column, or positions and weights.
 
-    Queries go to the tasks in blocks of about ``CHUNK`` and every partition keeps its own
-    k best per query while its batches pass, so what is shuffled is k rows per query and
-    partition. More queries mean more passes, never a dropped query.
+    One pass over the vectors: each batch meets the staged queries block by block and keeps
+    its k best per query, so what is shuffled is k rows per query and batch.
     """
-    blocks = max(1, -(-queries.count() // CHUNK))
     kinds, names = dict(vectors.dtypes), dict(queries.dtypes)
-    schema = f"{query} {names[query]}, {doc} {kinds[doc]}, score double"
-    tagged = queries.select(query, *query_vector, F.pmod(F.xxhash64(query), F.lit(blocks)).alias("_b"))
-    found = None
-    for b in range(blocks):
-        block = tagged.filter(F.col("_b") == b).drop("_b").toPandas()
-        if block.empty:
-            continue
-        ids = block[query].to_numpy()
-        matrix = _matrix(block, query_vector, dim)
-
-        def local(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            best = None
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                score = np.round(matrix @ _matrix(pdf, vector, dim).T, 9)
-                names = np.broadcast_to(pdf[doc].to_numpy(), score.shape)
-                if best is not None:
-                    score, names = np.hstack([best[0], score]), np.hstack([best[1], names])
-                order = np.lexsort((names, -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
-            if best is not None:
-                yield pd.DataFrame({query: np.repeat(ids, best[0].shape[1]), doc: best[1].ravel(), "score": best[0].ravel()})
-
-        part = vectors.select(doc, *vector).mapInPandas(local, schema)
-        found = part if found is None else found.unionByName(part)
-    return _best(found, query, doc, k) if found is not None else vectors.sparkSession.createDataFrame([], schema + ", rank int")
+    uri = _shared(queries.select(query, *query_vector))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held, ids = _matrix(batch.columns[1:], dim), batch.column(0).to_numpy(zero_copy_only=False)
+            for block in _blocks(uri, BLOCK):
+                score = np.round(_matrix(block.columns[1:], dim) @ held.T, 9)
+                rows = list(_kept(score, ids, k))
+                qs = np.repeat([q for q, _ in rows], [len(b) for _, b in rows])
+                best = np.concatenate([b for _, b in rows])
+                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(qs)), batch.column(0).take(pa.array(best)), pa.array(score[qs, best])], names=[query, doc, "score"])
+
+    return _best(vectors.select(doc, *vector).mapInArrow(local, f"{query} {names[query]}, {doc} {kinds[doc]}, score double"), query, doc, k)

@@ -123,7 +123,7 @@ scan_tag AS (SELECT *, array_to_string(list_filter([CASE WHEN i = 1 OR j = 1 THE
 @query("dec9_anomaly_scan", f"""
 WITH {SCAN}, k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY abs(residual_pct) DESC, period) AS rank FROM scan_tag WHERE abs(residual_pct) >= 0.05)
 SELECT series_id, {_P}, {r('residual_pct')} AS residual_pct, {r('expected', 2)} AS expected, {r('robust_z', 5)} AS robust_z, {r('yoy')} AS yoy, risks, CASE WHEN abs(residual_pct) >= 0.08 THEN 'high' ELSE 'medium' END AS level,
-  CASE WHEN residual_pct > 0 THEN 'above_expected' ELSE 'below_expected' END AS direction, i = 1 OR j = 1 AS endpoint, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 15""")
+  CASE WHEN residual_pct > 0 THEN 'above_expected' ELSE 'below_expected' END AS direction, i = 1 OR j = 1 AS endpoint, CAST(rank AS INTEGER) AS rank FROM k""")
 def dec9(t):
     s = dc.scan(dc.classical(monthly(t)))
     return rounded(s.select("series_id", "period", "residual_pct", "expected", "robust_z", "yoy", F.array_join("risks", ",").alias("risks"), "level", "direction", "endpoint", "rank"), 6, expected=2, robust_z=5)

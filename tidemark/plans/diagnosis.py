@@ -39,7 +39,7 @@ def dgn1(t):
 
 
 def explanations(t):
-    points = dc.scan(dc.classical(monthly(t)), medium=0.0, most=None)
+    points = dc.scan(dc.classical(monthly(t)), medium=0.0)
     return dg.explain(points, cal.calendar_context(calendar_table(t)), monthly_weather(t))
 
 
@@ -96,13 +96,15 @@ def dgn3(t):
 
 
 def economy(t):
-    """Sector growth per quarter as a fraction. Flag A stands for the preferred sector; it does not report second quarters, so the next sector steps in."""
-    q = quarterly(t).withColumn("yoy", wn.lag_growth("value", 4) / 100).filter(F.col("yoy").isNotNull())
-    return dg.preferred_sector(q.select("period", F.col("series_id").alias("sector"), "yoy").filter(~((F.col("sector") == "A") & (F.quarter("period") == 2))), F.col("sector") == "A")
+    """Sector growth per quarter as a fraction. P, a copy of A that does not report second quarters, is preferred; the next sector steps in there."""
+    q = quarterly(t).withColumn("yoy", wn.lag_growth("value", 4) / 100).filter(F.col("yoy").isNotNull()).select("period", F.col("series_id").alias("sector"), "yoy")
+    partly = q.filter((F.col("sector") == "A") & (F.quarter("period") != 2)).withColumn("sector", F.lit("P"))
+    return dg.preferred_sector(q.unionByName(partly), F.col("sector") == "P")
 
 
 _ECON = f"""eq AS (SELECT series_id AS sector, period, (value - lag(value, 4) {W}) / nullif(abs(lag(value, 4) {W}), 0) AS yoy FROM quarterly),
-ep AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY CASE WHEN sector = 'A' THEN 0 ELSE 1 END, sector) AS i FROM eq WHERE yoy IS NOT NULL AND NOT (sector = 'A' AND quarter(period) = 2)),
+eb AS (SELECT * FROM eq UNION ALL SELECT 'P', period, yoy FROM eq WHERE sector = 'A' AND quarter(period) <> 2),
+ep AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY CASE WHEN sector = 'P' THEN 0 ELSE 1 END, sector) AS i FROM eb WHERE yoy IS NOT NULL),
 nc AS (SELECT m.series_id, m.period, e.sector, (value - lag(value, 12) OVER w) / nullif(abs(lag(value, 12) OVER w), 0) * 100 AS load_yoy, CASE WHEN abs(e.yoy) > 1.5 THEN e.yoy ELSE e.yoy * 100 END AS economy_yoy
   FROM monthly m LEFT JOIN ep e ON e.i = 1 AND e.period = CAST(date_trunc('quarter', m.period) AS DATE) WINDOW w AS (PARTITION BY m.series_id ORDER BY m.period))"""
 

@@ -33,12 +33,12 @@ SELECT {k}, n, {r('gini')} AS gini, {r('1 - gini')} AS equality FROM g"""
 
 @query("ec1_gini_by_nation", _gini_sql(["nation"]))
 def ec1(t):
-    return rounded(mp.gini(agents(t), ["nation"], "coin"))
+    return rounded(mp.gini(agents(t), ["nation"], "coin", mp.SMALL_GROUP))
 
 
 @query("ec1_gini_small_groups", _gini_sql(["nation", "segment"]))
 def ec1_small(t):
-    return rounded(mp.gini(agents(t), ["nation", "segment"], "coin"))
+    return rounded(mp.gini(agents(t), ["nation", "segment"], "coin", mp.SMALL_GROUP))
 
 
 @query("ec2_productivity", f"WITH {PANEL} SELECT year, count(*) AS n_agents, {r('sum(income)', 2)} AS total_income, CAST(sum(labour) AS BIGINT) AS total_labour, {r('sum(coin)', 2)} AS total_coin, {r('avg(income)', 3)} AS mean_income, {r('avg(labour)')} AS mean_labour, {r('avg(coin)', 3)} AS mean_coin FROM panel GROUP BY 1")
@@ -59,7 +59,7 @@ WITH {PANEL}, u AS (SELECT *, {_UTILITY} AS utility FROM panel), o AS (SELECT *,
 SELECT year, {r('(0.6 * (CASE WHEN any_value(n) < 30 THEN 1 - 2 * sum((2 * i - n - 1) * coin) / (2 * any_value(n) * sum(coin) + 1e-10) / ((any_value(n) - 1.0) / any_value(n)) ELSE 2.0 / (any_value(n) + 1) * sum((n - i + 1) * coin) / (sum(coin) + 1e-10) END) + 0.4) * avg(coin)', 4)} AS coin_eq_times_productivity,
   {r('sum(coin / greatest(coin, 1)) / sum(1 / greatest(coin, 1))', 6)} AS inv_income_weighted_coin, {r('sum(utility / greatest(coin, 1)) / sum(1 / greatest(coin, 1))', 5)} AS inv_income_weighted_utility FROM o GROUP BY 1""")
 def ec3(t):
-    return rounded(mp.welfare(_with_utility(panel(t)), ["year"], "coin", "utility", 0.6), 6, coin_eq_times_productivity=4, inv_income_weighted_utility=5)
+    return rounded(mp.welfare(_with_utility(panel(t)), ["year"], "coin", "utility", 0.6, mp.SMALL_GROUP), 6, coin_eq_times_productivity=4, inv_income_weighted_utility=5)
 
 
 @query("ec4_agent_utility", f"WITH {PANEL} SELECT agent, year, {r(_UTILITY, 5)} AS isoelastic, {r('coin + income - power(labour, 1.5) * 20', 3)} AS linear FROM panel")
@@ -141,11 +141,23 @@ def ec9_extremes(t):
     return rounded(mp.extreme_tax_rates(taxed(t), "agent", "z", agents(t), "coin"))
 
 
-@query("ec10_income_elasticity", f"""
-WITH {TAXED}, l AS (SELECT z, marginal_rate AS m FROM taxed ORDER BY year DESC, agent DESC LIMIT 500), u AS (SELECT * FROM l WHERE z > 0 AND m < 1), f AS (SELECT count(*) AS n, stddev_pop(m) AS sd, regr_slope(ln(z), ln(1 - m)) AS b, regr_intercept(ln(z), ln(1 - m)) AS a FROM u)
-SELECT n, {r('CASE WHEN n >= 10 AND sd >= 1e-6 THEN 0.02 * greatest(b, 0) + 0.98 * 0.5 ELSE 0.5 END')} AS elasticity, {r('CASE WHEN n >= 10 AND sd >= 1e-6 THEN a ELSE 0.5 END', 5)} AS log_z0 FROM f""")
+def _elasticity_sql(cut):
+    return f"""
+WITH {TAXED}, l AS (SELECT z, marginal_rate AS m FROM taxed {cut}), u AS (SELECT * FROM l WHERE z > 0 AND m < 1), f AS (SELECT count(*) AS n, stddev_pop(m) AS sd, regr_slope(ln(z), ln(1 - m)) AS b, regr_intercept(ln(z), ln(1 - m)) AS a FROM u)
+SELECT n, {r('CASE WHEN n >= 10 AND sd >= 1e-6 THEN 0.02 * greatest(b, 0) + 0.98 * 0.5 ELSE 0.5 END')} AS elasticity, {r('CASE WHEN n >= 10 AND sd >= 1e-6 THEN a ELSE 0.5 END', 5)} AS log_z0 FROM f"""
+
+
+_LATEST = [F.col("year").desc(), F.col("agent").desc()]
+
+
+@query("ec10_income_elasticity", _elasticity_sql(""))
 def ec10(t):
-    return rounded(mp.income_elasticity(taxed(t), "z", "marginal_rate", [F.col("year").desc(), F.col("agent").desc()]), 6, log_z0=5)
+    return rounded(mp.income_elasticity(taxed(t), "z", "marginal_rate", _LATEST), 6, log_z0=5)
+
+
+@query("ec10_elasticity_of_latest_500", _elasticity_sql("ORDER BY year DESC, agent DESC LIMIT 500"))
+def ec10_latest(t):
+    return rounded(mp.income_elasticity(taxed(t), "z", "marginal_rate", _LATEST, keep=500), 6, log_z0=5)
 
 
 BINS = YEARLY + """, w AS (SELECT 510300.0 / 100 AS width),
@@ -230,23 +242,18 @@ def trades(t):
                          F.floor(unit + 0.5).alias("price"), F.col("cents").alias("cost"), revenue().alias("income"))
 
 
-def _brands(t):
-    return t.part.select(F.col("p_brand").alias("commodity"))
-
-
-def _trade_sql(table, key, side):
-    return f"""WITH {TRADES}, s AS (SELECT {side} AS agent, commodity, count(*) AS n, avg(price) AS price, avg(cost) AS cost, avg(income) AS income FROM trades GROUP BY 1, 2), c AS (SELECT DISTINCT p_brand AS commodity FROM part)
-SELECT a.{key} AS agent, c.commodity, coalesce(n, 0) AS n_sales, {r('price', 4)} AS price, {r('cost', 4)} AS cost, {r('income', 4)} AS income FROM {table} a CROSS JOIN c LEFT JOIN s ON s.agent = a.{key} AND s.commodity = c.commodity"""
+def _trade_sql(side):
+    return f"""WITH {TRADES} SELECT {side} AS agent, commodity, count(*) AS n_sales, {r('avg(price)', 4)} AS price, {r('avg(cost)', 4)} AS cost, {r('avg(income)', 4)} AS income FROM trades GROUP BY GROUPING SETS (({side}, commodity), ({side}))"""
 
 
-@query("ec15_seller_statistics", _trade_sql("supplier", "s_suppkey", "seller"))
+@query("ec15_seller_statistics", _trade_sql("seller"))
 def ec15(t):
-    return rounded(mp.trade_statistics(trades(t), t.supplier.select(F.col("s_suppkey").alias("agent")), _brands(t), "agent", "seller"), 4)
+    return rounded(mp.trade_statistics(trades(t), "agent", "seller"), 4)
 
 
-@query("ec15_buyer_statistics", _trade_sql("customer", "c_custkey", "buyer"))
+@query("ec15_buyer_statistics", _trade_sql("buyer"))
 def ec15_buyers(t):
-    return rounded(mp.trade_statistics(trades(t), t.customer.select(F.col("c_custkey").alias("agent")), _brands(t), "agent", "buyer"), 4)
+    return rounded(mp.trade_statistics(trades(t), "agent", "buyer"), 4)
 
 
 @query("ec16_order_depth", f"""

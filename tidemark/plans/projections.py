@@ -20,6 +20,12 @@ def _forms(t):
         "compact": F.date_format(d, "yyyyMM"),
         "date": F.date_format(d, "yyyy-MM-dd"),
         "stamp": F.date_format(d, "yyyy-MM-dd HH:mm"),
+        "slashed": F.date_format(d, "yyyy/MM/dd"),
+        "short": F.concat_ws("/", F.year(d), F.month(d), F.day(d)),
+        "dashed_short": F.concat_ws("-", F.year(d), F.month(d), F.day(d)),
+        "digits": F.date_format(d, "yyyyMMdd"),
+        "fraction": F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss.5"),
+        "no_day": F.concat(F.year(d), F.lit("/02/30")),
         "garbage": F.concat(F.year(d), F.lit("-13")),
         "blank": F.lit(" NaN "),
         "word": F.col("o_orderstatus"),
@@ -37,6 +43,12 @@ WITH forms AS (
     {'form': 'compact', 'text': strftime(o_orderdate, '%Y%m')},
     {'form': 'date', 'text': strftime(o_orderdate, '%Y-%m-%d')},
     {'form': 'stamp', 'text': strftime(o_orderdate, '%Y-%m-%d %H:%M')},
+    {'form': 'slashed', 'text': strftime(o_orderdate, '%Y/%m/%d')},
+    {'form': 'short', 'text': year(o_orderdate) || '/' || month(o_orderdate) || '/' || day(o_orderdate)},
+    {'form': 'dashed_short', 'text': year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate)},
+    {'form': 'digits', 'text': strftime(o_orderdate, '%Y%m%d')},
+    {'form': 'fraction', 'text': strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.5')},
+    {'form': 'no_day', 'text': year(o_orderdate) || '/02/30'},
     {'form': 'garbage', 'text': year(o_orderdate) || '-13'},
     {'form': 'blank', 'text': ' NaN '},
     {'form': 'word', 'text': o_orderstatus}], recursive := true) FROM orders),
@@ -51,7 +63,8 @@ SELECT form, CAST(period AS VARCHAR) AS period, count(*) AS n FROM (
     WHEN regexp_full_match(t, '(\\d{4})(0[1-9]|1[0-2])')
       THEN make_date(CAST(left(t, 4) AS BIGINT), CAST(right(t, 2) AS BIGINT), 1)
     WHEN regexp_full_match(t, '\\d{4}') THEN make_date(CAST(t AS BIGINT), 1, 1)
-    WHEN regexp_full_match(t, '\\d{4}-\\d{2}-\\d{2}([ T]\\d{2}:\\d{2}(:\\d{2})?)?') THEN TRY_CAST(left(t, 10) AS DATE)
+    WHEN regexp_full_match(t, '\\d{8}') THEN try_strptime(t, '%Y%m%d')::DATE
+    WHEN regexp_full_match(t, '\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}([ T]\\d{2}:\\d{2}(:\\d{2}(\\.\\d+)?)?)?') THEN TRY_CAST(replace(regexp_extract(t, '^[^ T]+'), '/', '-') AS DATE)
   END AS period FROM parsed) GROUP BY ALL""")
 def prj1(t):
     return (_forms(t).select("form", per.parse_period(F.col("text")).cast("date").alias("period"))

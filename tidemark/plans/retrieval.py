@@ -59,6 +59,6 @@ def ret3(t):
 WITH {_cells_sql('documents', 'doc_id')}, {_cells_sql('benchmark', 'item_id')}, s AS (SELECT item_id, doc_id, round(sum(a.weight * b.weight), 9) AS score FROM v_documents a JOIN v_benchmark b USING (bucket) GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, {r('score', 5)} AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 4""")
 def ret3_text(t):
-    docs = rt.packed(rt.hashed_vectors(t.documents, "doc_id", F.col("text")), "doc_id")
-    asked = rt.packed(rt.hashed_vectors(t.benchmark, "item_id", F.col("text")), "item_id")
+    docs = rt.packed(t.documents, "doc_id", F.col("text"))
+    asked = rt.packed(t.benchmark, "item_id", F.col("text"))
     return rounded(rt.cosine_topk(docs, "doc_id", ["buckets", "weights"], asked, "item_id", ["buckets", "weights"]), 5)

@@ -7,12 +7,12 @@ from .standins import r
 
 
 @query("sc1_string_functions", r"""
-SELECT doc_id, lower(trim(left(text, 12))) AS lowered, CAST(length(replace(text, 'e', '')) AS INTEGER) AS without_e, regexp_extract(text, '([A-Za-z]+)', 1) AS first_word,
+SELECT doc_id, md5(lower(trim(text))) AS lowered, CAST(length(replace(text, 'e', '')) AS INTEGER) AS without_e, regexp_extract(text, '([A-Za-z]+)', 1) AS first_word,
   md5(regexp_replace(text, '[0-9]+', '#', 'g')) AS masked, concat_ws('-', lang, source) AS joined, printf('%05d', doc_id) AS padded, contains(text, 'http') AS has_link,
   CAST(len(str_split(text, ' ')) AS INTEGER) AS n_parts FROM documents""")
 def sc1(t):
     return t.documents.select(
-        "doc_id", F.lower(F.trim(F.substring("text", 1, 12))).alias("lowered"), F.length(F.replace("text", F.lit("e"), F.lit(""))).alias("without_e"),
+        "doc_id", F.md5(F.lower(F.trim("text"))).alias("lowered"), F.length(F.replace("text", F.lit("e"), F.lit(""))).alias("without_e"),
         F.regexp_extract("text", "([A-Za-z]+)", 1).alias("first_word"), F.md5(F.regexp_replace("text", "[0-9]+", "#")).alias("masked"),
         F.concat_ws("-", "lang", "source").alias("joined"), F.format_string("%05d", "doc_id").alias("padded"), F.col("text").contains("http").alias("has_link"),
         F.size(F.split("text", " ")).alias("n_parts"))

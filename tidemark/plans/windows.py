@@ -196,16 +196,17 @@ def wn14(t):
 
 
 @query("wn15_ytd_to_month", f"""
-WITH {MONTHLY}, y AS (SELECT series_id, period, sum(value) OVER (PARTITION BY series_id, year(period) ORDER BY period) AS ytd FROM monthly WHERE NOT (year(period) = 1997 AND month(period) <= 3)),
+WITH {MONTHLY}, y AS (SELECT series_id, period, sum(value) OVER (PARTITION BY series_id, year(period) ORDER BY period) AS ytd FROM (SELECT series_id, period, value FROM monthly UNION ALL SELECT series_id || ' late', period, value FROM monthly WHERE NOT (year(period) = 1997 AND month(period) <= 3))),
 p AS (SELECT *, lag(ytd) OVER (PARTITION BY series_id, year(period) ORDER BY period) AS prev,
   last_value(CASE WHEN month(period) = 12 THEN ytd END IGNORE NULLS) {W[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dec_v,
   last_value(CASE WHEN month(period) = 12 THEN year(period) END IGNORE NULLS) {W[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dec_y FROM y),
 s AS (SELECT series_id, period, CASE WHEN month(period) = 1 OR (prev IS NULL AND month(period) <= 2) THEN ytd WHEN prev IS NOT NULL THEN ytd - prev WHEN dec_y = year(period) - 1 THEN ytd - dec_v END AS single FROM p)
 SELECT series_id, {_P}, {r('CASE WHEN single >= 0 THEN single END', 2)} AS single FROM s WHERE single IS NOT NULL""")
 def wn15(t):
-    # one year opens in April, as a late first report would
-    late = monthly(t).filter(~((F.year("period") == 1997) & (F.month("period") <= 3)))
-    ytd = late.select("series_id", "period", wn.year_to_date().alias("ytd"))
+    # beside every series a copy of which one year opens in April, as with a late first report
+    every = monthly(t).select("series_id", "period", "value")
+    late = every.filter(~((F.year("period") == 1997) & (F.month("period") <= 3))).withColumn("series_id", F.concat("series_id", F.lit(" late")))
+    ytd = every.unionByName(late).select("series_id", "period", wn.year_to_date().alias("ytd"))
     return rounded(wn.monthly_from_ytd(ytd, "ytd").select("series_id", "period", "single"), 2)
 
 

@@ -27,10 +27,12 @@ def get_spark(app: str = "tidemark", master: str | None = None, shuffle_partitio
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (single-machine tests) is a local folder made.
+    Only where the setting is absent and everything runs on one machine is a local folder made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 

@@ -115,13 +115,13 @@ def word_shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def byte_shingles(b: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every run of ``width`` bytes, bounds per text); a shorter text is one shingle, an empty one none."""
-    size = np.diff(offsets)
-    at, bounds = _spread(offsets[:-1], np.where(size >= width, size - width + 1, (size > 0).astype(np.int64)))
-    length = np.minimum(np.repeat(size, np.diff(bounds)), width)
+    """(hash of the run of up to ``width`` bytes that ends at each byte, bounds per text); a text has as many as bytes."""
+    begin = np.repeat(offsets[:-1], np.diff(offsets))
+    end = np.arange(1, len(b) + 1)
+    at = np.maximum(end - width, begin)
     total = _prefix(b)
     _, down = _powers_to(len(b) + 1)
-    return mix((total[at + length] - total[at]) * down[at] + length.astype(U)), bounds
+    return mix((total[end] - total[at]) * down[at] + (end - at).astype(U)), offsets
 
 
 def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -69,7 +69,7 @@ def from_text(s: str) -> np.ndarray:
 
 
 def sketches(texts: pa.Array | pa.ChunkedArray, k: int, width: int) -> list[np.ndarray]:
-    """One sketch per text over its runs of ``width`` bytes; null and empty texts have an empty one."""
+    """One sketch per text over its runs of ``width`` bytes, shorter at its beginning, so that the shortest texts have some too; null and empty texts have an empty one."""
     buf, offsets = column(texts)
     out = []
     for _, _, b, o in slices(buf, offsets):

@@ -19,7 +19,6 @@ from .common import stage
 _SPECIAL = "<|endoftext|>"
 _SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, open int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.int32())])
-_loaded: dict[str, "Encoder"] = {}
 
 
 def _byte_letters() -> dict[str, int]:
@@ -85,10 +84,13 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process and vocabulary."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    """One per worker process and vocabulary. Task functions travel by value and have no globals that last, so it is kept with the library it wraps."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 class Packer:

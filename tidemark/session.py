@@ -45,4 +45,14 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads. What was made from them must be written by then."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,9 +7,9 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import discard, stage
 
-__all__ = ["components", "partitions", "release", "stage"]
+__all__ = ["components", "discard", "partitions", "release", "stage"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -41,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lower = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lower, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b"))
-        pairs = stage(small.filter("a <> b").distinct())
+        before, pairs = pairs, stage(small.filter("a <> b").distinct())
+        discard(before)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break

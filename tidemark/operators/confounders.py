@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,41 +33,71 @@ def daily_inputs(daily: DataFrame, holidays: DataFrame, festivals: DataFrame, te
     facts = near.join(named, "period", "left").select(
         "period", cdd.alias("cdd"), hdd.alias("hdd"), (F.weekday("period") >= 5).cast("int").alias("is_weekend"),
         F.coalesce("is_holiday", F.lit(0)).alias("is_holiday"), "days_to_start")
-    return daily.filter(F.col("value") > 0).select("series_id", "period", "value", F.ln("value").alias("log_value")).join(facts, "period", "left")
+    positive = F.col("value") > 0
+    held = daily.select("series_id", "period", "value", F.when(positive, F.ln("value")).alias("log_value"), F.when(F.coalesce(~positive, F.lit(True)), "value is not positive").alias("reason"))
+    return held.join(facts, "period", "left")
 
 
 def remove_confounders(df: DataFrame, key: str = "series_id", order: str = "period") -> DataFrame:
-    """Adds weather_effect, calendar_effect, economic_signal and r_squared per series.
+    """Adds weather_effect, calendar_effect, economic_signal and r_squared; rows without a log value keep NULL there.
 
     Least squares of the log value on degree days, weekend, holiday and one mark per day
-    around the festival. Constant columns get no weight (minimum-norm solution). One
-    group is one series on the calendar, a few thousand rows at most.
+    around the festival. The marks are fixed effects: sums of squares and products per (series, mark),
+    combined before the shuffle, are all a fit needs, so a task solves one system of four
+    per series, and what it found is joined back. Constant columns get no weight (minimum-norm solution).
     """
-    base = ["cdd", "hdd", "is_weekend", "is_holiday"]
-    schema = ", ".join(f"{n} {k}" for n, k in df.dtypes) + ", weather_effect double, calendar_effect double, economic_signal double, r_squared double"
+    known = ["cdd", "hdd", "is_weekend", "is_holiday"]
+    mark = F.when(F.abs("days_to_start") <= SPAN, F.col("days_to_start"))
+    held = df.withColumn("_mark", mark.cast("int"))
+    terms = {"y": F.col("log_value")} | {c: F.col(c).cast("double") for c in known}
+    names = list(terms)
+    pairs = [(p, q) for i, p in enumerate(names) for q in names[i:]]
+    cells = held.filter("log_value IS NOT NULL").groupBy(key, "_mark").agg(
+        F.count("*").cast("double").alias("n"), *[F.sum(v).alias(f"s_{c}") for c, v in terms.items()], *[F.sum(terms[p] * terms[q]).alias(f"p_{p}_{q}") for p, q in pairs])
+    # at most 2 * SPAN + 2 cells of a series are gathered
+    gathered = cells.groupBy(key).agg(F.collect_list(F.struct("_mark", "n", *[c for c in cells.columns if c[:2] in ("s_", "p_")])).alias("cells"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        y = pdf["log_value"].to_numpy(float)
-        known = pdf[base].to_numpy(float)
-        near = (pdf["days_to_start"].to_numpy(float)[:, None] == np.arange(-SPAN, SPAN + 1)).astype(float)
-        x = np.hstack([np.ones((len(y), 1)), known, near])
-        beta = np.linalg.lstsq(x, y, rcond=None)[0]
-        total = ((y - y.mean()) ** 2).sum()
-        rest = ((y - x @ beta) ** 2).sum()
-        weather = known[:, :2] @ beta[1:3]
-        calendar = known[:, 2:] @ beta[3:5] + near @ beta[5:]
-        return pdf.assign(weather_effect=weather, calendar_effect=calendar, economic_signal=y - weather - calendar,
-                          r_squared=1 - rest / total if total > 0 else 0.0)
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, found in zip(pdf[key], pdf["cells"]):
+                base = sorted(found, key=lambda c: (c["_mark"] is not None, c["_mark"] or 0))
+                n = np.array([c["n"] for c in base])
+                sums = np.array([[c[f"s_{t}"] for t in names] for c in base])
+                cross = np.zeros((len(names), len(names)))
+                for i, p in enumerate(names):
+                    for j, q in enumerate(names):
+                        name = f"p_{p}_{q}" if i <= j else f"p_{q}_{p}"
+                        cross[i, j] = sum(c[name] for c in base)
+                within = cross - (sums / n[:, None]).T @ sums
+                scale = np.sqrt(np.maximum(np.diag(within)[1:], 1e-300))
+                flat = np.diag(within)[1:] <= 1e-10 * np.maximum(np.diag(cross)[1:], 1e-300)
+                use = np.flatnonzero(~flat)
+                beta = np.zeros(len(known))
+                if len(use):
+                    beta[use] = np.linalg.lstsq(within[1:, 1:][np.ix_(use, use)] / np.outer(scale[use], scale[use]), within[1:, 0][use] / scale[use], rcond=1e-10)[0] / scale[use]
+                level = (sums[:, 0] - sums[:, 1:] @ beta) / n
+                rest = within[0, 0] - 2 * beta @ within[1:, 0] + beta @ within[1:, 1:] @ beta
+                total = cross[0, 0] - sums[:, 0].sum() ** 2 / n.sum()
+                rows.append((k, *beta, {int(c["_mark"]): float(v - level[0]) for c, v in zip(base, level) if c["_mark"] is not None}, 1 - rest / total if total > 0 else 0.0))
+            yield pd.DataFrame(rows, columns=[key, *[f"b_{c}" for c in known], "marks", "r_squared"])
 
-    # a stated partition count: small but slow-to-fit groups must not be merged by size
-    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    return spread.groupBy(key).applyInPandas(fit, schema)
+    kind = dict(df.dtypes)[key]
+    coefs = gathered.mapInPandas(solve, f"{key} {kind}, " + ", ".join(f"b_{c} double" for c in known) + ", marks map<int,double>, r_squared double")
+    out = held.join(coefs, key, "left")
+    fitted = lambda some: reduce(lambda a, b: a + b, [F.col(f"b_{c}") * F.col(c) for c in some])
+    there = F.col("log_value").isNotNull()
+    weather = F.when(there, fitted(known[:2]))
+    calendar = F.when(there, fitted(known[2:]) + F.coalesce(F.element_at("marks", F.col("_mark")), F.lit(0.0)))
+    out = out.withColumn("weather_effect", weather).withColumn("calendar_effect", calendar)
+    signal = F.col("log_value") - F.col("weather_effect") - F.col("calendar_effect")
+    return out.select(*df.columns, "weather_effect", "calendar_effect", signal.alias("economic_signal"), F.when(there, F.col("r_squared")).alias("r_squared"))
 
 
 def decouple(df: DataFrame, period: int = 7, key: str = "series_id", order: str = "period") -> DataFrame:
-    """Effects removed, yearly profile removed, weekly decomposition, detail bands, distance from the long median."""
-    signal = stage(remove_confounders(df, key, order))
+    """Effects removed, yearly profile removed, weekly decomposition, detail bands, distance from the long median. Days without a signal are left out of all of them and come back with their reason."""
+    every = stage(remove_confounders(df, key, order))
+    signal = every.filter("economic_signal IS NOT NULL")
     flat = remove_climatology(signal.select(key, order, "log_value", "weather_effect", "calendar_effect", "economic_signal"), "economic_signal", key=key, order=order)
     flat = stage(flat.withColumn("economic_signal", F.col("adjusted")).drop("adjusted", "climatology"))
     cycle = max(period, 7)
@@ -74,4 +105,6 @@ def decouple(df: DataFrame, period: int = 7, key: str = "series_id", order: str
         key, order, F.col("trend").alias("economic_trend"), F.col("seasonal").alias("seasonal_residual"), F.col("residual").alias("economic_residual"))
     joined = flat.join(parts, [key, order]).withColumn("fluctuation", F.col("economic_signal") - F.col("economic_trend"))
     banded = scale_bands(joined, 4, "fluctuation", key, order).withColumnRenamed("band_1", "high_frequency").drop("band_2", "band_3", "band_4", "smooth", "fluctuation")
-    return rolling_median_deviation(banded, "economic_signal", key=key, order=order).drop("baseline").withColumnRenamed("deviation", "economic_deviation")
+    out = rolling_median_deviation(banded, "economic_signal", key=key, order=order).drop("baseline").withColumnRenamed("deviation", "economic_deviation")
+    lost = every.filter("economic_signal IS NULL").select(key, order, "reason")
+    return out.withColumn("reason", F.lit(None).cast("string")).unionByName(lost, allowMissingColumns=True)

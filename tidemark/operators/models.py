@@ -29,8 +29,8 @@ STAGES = {
 }
 
 
-def _huber(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 200) -> np.ndarray:
-    """Coefficients (intercept first) and scale jointly, by alternating weighted least squares and the scale equation."""
+def _huber(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, bool]:
+    """Coefficients (intercept first) and scale jointly, by alternating weighted least squares and the scale equation, and whether they settled."""
     penalty = np.diag([0.0] + [alpha] * (x.shape[1] - 1))
     beta = np.linalg.lstsq(x, y, rcond=None)[0]
     scale = max(np.median(np.abs(y - x @ beta)), 1e-12)
@@ -43,56 +43,95 @@ def _huber(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, alpha: float = 1
         w = np.where(off > epsilon * scale, epsilon * scale / np.maximum(off, 1e-300), 1.0)
         new = np.linalg.lstsq(x.T @ (w[:, None] * x) + scale * penalty, x.T @ (w * y), rcond=None)[0]
         if np.allclose(new, beta, rtol=1e-10, atol=1e-12):
-            return new
+            return new, True
         beta = new
-    return beta
+    return beta, False
 
 
-def _fit(x: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
-    full = np.hstack([np.ones((len(y), 1)), x])
-    if method == "huber":
-        return _huber(full, y)
-    if method == "ridge":
-        mx, my = x.mean(0), y.mean()
-        slope = np.linalg.solve((x - mx).T @ (x - mx) + np.eye(x.shape[1]), (x - mx).T @ (y - my))
-        return np.concatenate([[my - mx @ slope], slope])
-    return np.linalg.lstsq(full, y, rcond=None)[0]
+def _solve(m: dict[str, np.ndarray], method: str, both: bool, months: bool) -> tuple[np.ndarray, list[int], float, float]:
+    """(coefficients, marked months, residual and total sum of squares) of one series from the sums of its months.
+
+    Responses come first, month marks after; all sums are about the means of the series, so the intercept drops out.
+    """
+    names = ["a", "b"][:2 if both else 1]
+    n = m["n"].sum()
+    marks = [i for i, month in enumerate(m["month"]) if months and month > 1]
+    size = len(names) + len(marks)
+    xx, xy = np.zeros((size, size)), np.zeros(size)
+    for i, p in enumerate(names):
+        for j, q in enumerate(names):
+            xx[i, j] = m[min(p, q) + max(p, q)].sum() - m[p].sum() * m[q].sum() / n
+        xy[i] = m[p + "y"].sum() - m[p].sum() * m["y"].sum() / n
+        for k, at in enumerate(marks, len(names)):
+            xx[i, k] = xx[k, i] = m[p][at] - m[p].sum() * m["n"][at] / n
+    for k, at in enumerate(marks, len(names)):
+        xy[k] = m["y"][at] - m["n"][at] * m["y"].sum() / n
+        for l, other in enumerate(marks, len(names)):
+            xx[k, l] = m["n"][at] * (at == other) - m["n"][at] * m["n"][other] / n
+    beta = np.linalg.solve(xx + np.eye(size), xy) if method == "ridge" else np.linalg.lstsq(xx, xy, rcond=1e-12)[0]
+    total = m["yy"].sum() - m["y"].sum() ** 2 / n
+    means = np.array([m[p].sum() for p in names] + [m["n"][at] for at in marks]) / n
+    return np.concatenate([[m["y"].sum() / n - beta @ means], beta]), [int(m["month"][at]) for at in marks], total - 2 * beta @ xy + beta @ xx @ beta, total
 
 
 def fit_temperature(df: DataFrame, method: str = "piecewise", months: bool = True, heat_below: float = HEAT_BELOW, cool_above: float = COOL_ABOVE,
                     key: str = "series_id", order: str = "period", value: str = "value", temp: str = "temp") -> DataFrame:
-    """One row per series: method, n, intercept, heating, cooling or temperature slope, r_squared, month_coefs.
+    """One row per series: method, n, intercept, heating, cooling or temperature slope, r_squared, month_coefs, converged.
 
     piecewise has separate heating and cooling slopes; linear, ridge (penalty 1) and huber
     have one. Month marks leave out January. Under 12 points the mean stands in.
+
+    Least squares and ridge need sums per series and month only, which are combined before the shuffle; a task then solves one
+    small system per series. Huber weighs single points and takes each series as a whole.
     """
     kinds = dict(df.dtypes)
-    schema = f"{key} {kinds[key]}, method string, n long, intercept double, heating_coef double, cooling_coef double, temp_coef double, r_squared double, month_coefs map<int,double>"
+    schema = f"{key} {kinds[key]}, method string, n long, intercept double, heating_coef double, cooling_coef double, temp_coef double, r_squared double, month_coefs map<int,double>, converged boolean"
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    both = method == "piecewise"
+
+    def row(k, n: int, mean: float, beta: np.ndarray | None, marks: list[int], rest: float, total: float, converged: bool = True) -> dict:
+        out = {key: k, "method": method, "n": n, "heating_coef": 0.0, "cooling_coef": 0.0, "temp_coef": 0.0, "r_squared": 0.0, "month_coefs": {}, "converged": converged}
+        if beta is None:
+            return out | {"method": "mean", "intercept": mean}
+        slopes = {"heating_coef": beta[1], "cooling_coef": beta[2]} if both else {"temp_coef": beta[1]}
+        return out | slopes | {"intercept": beta[0], "r_squared": 1 - rest / total if total > 0 else 0.0, "month_coefs": {m: float(b) for m, b in zip(marks, beta[2 + both:])}}
 
-    def one(k, pdf: pd.DataFrame) -> dict:
+    def whole(k, pdf: pd.DataFrame) -> dict:
         y, t = pdf[value].to_numpy(float), pdf[temp].to_numpy(float)
-        row = {key: k, "method": method, "n": len(y), "heating_coef": 0.0, "cooling_coef": 0.0, "temp_coef": 0.0, "r_squared": 0.0, "month_coefs": {}}
         if len(y) < 12:
-            return row | {"method": "mean", "intercept": float(y.mean())}
-        response = np.stack([np.maximum(0, heat_below - t), np.maximum(0, t - cool_above)], 1) if method == "piecewise" else t[:, None]
+            return row(k, len(y), float(y.mean()), None, [], 0.0, 0.0)
         month = pd.to_datetime(pdf[order]).dt.month.to_numpy()
         marks = [m for m in range(2, 13) if months and (month == m).any()]
-        x = np.hstack([response, *[(month == m).astype(float)[:, None] for m in marks]])
-        beta = _fit(x, y, method)
-        rest = ((y - beta[0] - x @ beta[1:]) ** 2).sum()
-        total = ((y - y.mean()) ** 2).sum()
-        width = response.shape[1]
-        slopes = {"heating_coef": beta[1], "cooling_coef": beta[2]} if width == 2 else {"temp_coef": beta[1]}
-        return row | slopes | {"intercept": beta[0], "r_squared": 1 - rest / total if total > 0 else 0.0,
-                               "month_coefs": {m: float(b) for m, b in zip(marks, beta[1 + width:])}}
+        x = np.hstack([np.ones((len(y), 1)), t[:, None], *[(month == m).astype(float)[:, None] for m in marks]])
+        beta, converged = _huber(x, y)
+        return row(k, len(y), 0.0, beta, marks, ((y - x @ beta) ** 2).sum(), ((y - y.mean()) ** 2).sum(), converged)
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split(" ")[0] for f in schema.split(", ")]
+    def robust(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_series(batches, key):
-            yield pd.DataFrame([one(k, g) for k, g in pdf.groupby(key, sort=False)], columns=names)
+            yield pd.DataFrame([whole(k, g) for k, g in pdf.groupby(key, sort=False)], columns=names)
+
+    sums = ("month", "n", "y", "yy", "a", "aa", "ay", *(("b", "ab", "bb", "by") if both else ()))
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, cells in zip(pdf[key], pdf["cells"]):
+                cells = sorted(cells, key=lambda c: c["month"])
+                m = {s: np.array([c[s] for c in cells], float) for s in sums}
+                n, mean = int(m["n"].sum()), float(m["y"].sum() / m["n"].sum())
+                rows.append(row(k, n, mean, *(_solve(m, method, both, months) if n >= 12 else (None, [], 0.0, 0.0))))
+            yield pd.DataFrame(rows, columns=names)
 
-    pairs = df.select(key, order, value, temp).dropna(subset=[value, temp])
-    return by_series(pairs, key, order).mapInPandas(fit, schema)
+    pairs = df.select(key, order, F.col(value).cast("double").alias(value), temp).dropna(subset=[value, temp])
+    if method == "huber":
+        return by_series(pairs, key, order).mapInPandas(robust, schema)
+    heat, cool = degree_days(F.col(temp), heat_below, cool_above)
+    x = {"a": heat, "b": cool} if both else {"a": F.col(temp)}
+    x["y"] = F.col(value)
+    products = {p + q: x[p] * x[q] for p in x for q in x if p <= q} | x
+    cells = pairs.groupBy(key, F.month(order).alias("month")).agg(F.count("*").alias("n"), *[F.sum(products[s]).alias(s) for s in sums if s in products])
+    # at most twelve cells of a series are gathered
+    return cells.groupBy(key).agg(F.collect_list(F.struct(*sums)).alias("cells")).mapInPandas(summed, schema)
 
 
 def temperature_correct(df: DataFrame, model: DataFrame, heat_below: float = HEAT_BELOW, cool_above: float = COOL_ABOVE,

@@ -6,9 +6,9 @@ from ..operators import confounders as cf
 from ..operators import decompose as dc
 from ..operators import stl
 from ..operators import windows as wn
-from .calendars import festival_ranges, holidays
+from .calendars import FESTIVAL_SQL, HOLIDAY_SQL, festival_ranges, holidays
 from .registry import query, rounded
-from .standins import DAILY_TOTAL, MONTHLY, W, daily, daily_total, frame, hourly, money, monthly, quarterly, r, temperature
+from .standins import DAILY, DAILY_TOTAL, MONTHLY, W, daily, daily_total, frame, hourly, money, monthly, quarterly, r, temperature, temperature_sql
 
 _P = "CAST(period AS VARCHAR) AS period"
 DEC = MONTHLY + f""",
@@ -77,9 +77,30 @@ def dec5(t):
     return rounded(dc.strengths(dc.classical(monthly(t))))
 
 
-@query("dec6_confounder_regression")
+def _less(name, *others):
+    """SQL sum: a column less its projection on columns that are at right angles to one another."""
+    return name + "".join(f" - sum({name} * {o}) OVER s / sum({o} * {o}) OVER s * {o}" for o in others)
+
+
+# marks are fixed effects, so all columns are taken about the mean of their mark; then each regressor is cleared of those before it
+_CONFOUNDERS = f"""nr AS (SELECT period, arg_min(datediff('day', first_day, period), (abs(datediff('day', first_day, period)), first_day)) AS gap FROM (SELECT DISTINCT period FROM daily), festivals GROUP BY 1),
+x0 AS (SELECT d.series_id, d.period, ln(d.value) AS y, greatest(0, t - 24.0) AS c, greatest(0, 10.0 - t) AS h, CAST(isodow(d.period) >= 6 AS DOUBLE) AS w, CAST(d.period IN (SELECT day FROM holidays) AS DOUBLE) AS v, CASE WHEN abs(gap) <= 21 THEN gap END AS mark
+  FROM (SELECT *, {temperature_sql("period")} AS t FROM daily) d JOIN nr USING (period)),
+x1 AS (SELECT *, {", ".join(f"{k} - avg({k}) OVER m AS {k}1" for k in "ychwv")}, {", ".join(f"avg({k}) OVER m AS {k}m" for k in "ychwv")} FROM x0 WINDOW m AS (PARTITION BY series_id, mark)),
+x2 AS (SELECT *, {_less("h1", "c1")} AS h2 FROM x1 WINDOW s AS (PARTITION BY series_id)), x3 AS (SELECT *, {_less("w1", "c1", "h2")} AS w2 FROM x2 WINDOW s AS (PARTITION BY series_id)),
+x4 AS (SELECT *, {_less("v1", "c1", "h2", "w2")} AS v2 FROM x3 WINDOW s AS (PARTITION BY series_id)),
+b4 AS (SELECT *, sum(y1 * v2) OVER s / sum(v2 * v2) OVER s AS bv FROM x4 WINDOW s AS (PARTITION BY series_id)), b3 AS (SELECT *, sum((y1 - bv * v1) * w2) OVER s / sum(w2 * w2) OVER s AS bw FROM b4 WINDOW s AS (PARTITION BY series_id)),
+b2 AS (SELECT *, sum((y1 - bv * v1 - bw * w1) * h2) OVER s / sum(h2 * h2) OVER s AS bh FROM b3 WINDOW s AS (PARTITION BY series_id)),
+b1 AS (SELECT *, sum((y1 - bv * v1 - bw * w1 - bh * h1) * c1) OVER s / sum(c1 * c1) OVER s AS bc FROM b2 WINDOW s AS (PARTITION BY series_id)),
+lv AS (SELECT *, ym - bc * cm - bh * hm - bw * wm - bv * vm AS level FROM b1),
+fit AS (SELECT *, level - max(CASE WHEN mark IS NULL THEN level END) OVER s AS effect, 1 - sum(power(y1 - bc * c1 - bh * h1 - bw * w1 - bv * v1, 2)) OVER s / (var_pop(y) OVER s * count(*) OVER s) AS r2 FROM lv WINDOW s AS (PARTITION BY series_id))"""
+
+
+@query("dec6_confounder_regression", f"""
+WITH {DAILY}, {HOLIDAY_SQL}, {FESTIVAL_SQL}, {_CONFOUNDERS} SELECT series_id, CAST(period AS VARCHAR) AS period, {r('bc * c + bh * h')} AS weather_effect, {r('bw * w + bv * v + effect')} AS calendar_effect, {r('y - bc * c - bh * h - bw * w - bv * v - effect')} AS economic_signal, {r('r2')} AS r_squared FROM fit""")
 def dec6(t):
-    return rounded(cf.remove_confounders(cf.daily_inputs(daily(t), holidays(t.spark), festival_ranges(t.spark), temperature)), 6)
+    out = cf.remove_confounders(cf.daily_inputs(daily(t), holidays(t.spark), festival_ranges(t.spark), temperature))
+    return rounded(out.select("series_id", "period", "weather_effect", "calendar_effect", "economic_signal", "r_squared"), 6)
 
 
 @query("dec7_decoupled_signal")

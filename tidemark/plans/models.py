@@ -9,7 +9,7 @@ from ..operators import models as md
 from ..operators import windows as wn
 from .calendars import holidays
 from .registry import query, rounded
-from .standins import MONTHLY, W, cents, daily, frame, monthly, r, revenue, temperature, temperature_sql
+from .standins import DAILY, MONTHLY, W, cents, daily, frame, monthly, r, revenue, temperature, temperature_sql
 
 _P = "CAST(period AS VARCHAR) AS period"
 _TEMP_SQL = temperature_sql("CAST(period + INTERVAL 14 DAY AS DATE)")
@@ -27,9 +27,25 @@ def _shown(df):
     return rounded(df.withColumn("month_coefs", F.to_json("month_coefs")), 4)
 
 
-@query("mdl1_temperature_piecewise")
+# within months: sums of squares and products about the month's means, solved for the two slopes
+_WITHIN = f"""d0 AS (SELECT series_id, month(period) AS m, value AS y, greatest(0, 10.0 - t) AS a, greatest(0, t - 25.0) AS b FROM (SELECT *, {temperature_sql("period")} AS t FROM daily)),
+d1 AS (SELECT *, avg(y) OVER w AS my, avg(a) OVER w AS ma, avg(b) OVER w AS mb FROM d0 WINDOW w AS (PARTITION BY series_id, m)),
+s1 AS (SELECT series_id, count(*) AS n, sum((a-ma)*(a-ma)) AS aa, sum((a-ma)*(b-mb)) AS ab, sum((b-mb)*(b-mb)) AS bb, sum((a-ma)*(y-my)) AS ay, sum((b-mb)*(y-my)) AS by_, sum((y-my)*(y-my)) AS yy, var_pop(y) * count(*) AS total FROM d1 GROUP BY 1),
+s2 AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ha, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM s1),
+jan AS (SELECT series_id, any_value(my) AS my, any_value(ma) AS ma, any_value(mb) AS mb FROM d1 WHERE m = 1 GROUP BY 1)"""
+
+
+@query("mdl1_temperature_piecewise", f"""
+WITH {DAILY}, {_WITHIN} SELECT series_id, 'piecewise' AS method, n, {r('my - ha * ma - cb * mb', 2)} AS intercept, {r('ha', 3)} AS heating_coef, {r('cb', 3)} AS cooling_coef, {r('1 - (yy - ha * ay - cb * by_) / total', 6)} AS r_squared FROM s2 JOIN jan USING (series_id)""")
 def mdl1(t):
-    return _shown(md.fit_temperature(_daily_temp(t)))
+    return rounded(md.fit_temperature(_daily_temp(t)).select("series_id", "method", "n", "intercept", "heating_coef", "cooling_coef", "r_squared"), 6, intercept=2, heating_coef=3, cooling_coef=3)
+
+
+@query("mdl1_month_marks", f"""
+WITH {DAILY}, {_WITHIN} SELECT DISTINCT series_id, CAST(m AS INTEGER) AS month, {r('d.my - j.my - ha * (d.ma - j.ma) - cb * (d.mb - j.mb)', 2)} AS coef FROM d1 d JOIN s2 USING (series_id) JOIN jan j USING (series_id) WHERE m > 1""")
+def mdl1_months(t):
+    fit = md.fit_temperature(_daily_temp(t))
+    return rounded(fit.select("series_id", F.explode("month_coefs").alias("month", "coef")), 2)
 
 
 @query("mdl1_temperature_line", f"""

@@ -187,3 +187,19 @@ def trace_statistics(trace: DataFrame, run: str, step: str, tool: str, failed: C
         F.count("*").alias("n_steps"), (F.max(step) - F.min(step)).alias("span"), F.count_if(failed).alias("n_failed"),
         F.min_by(tool, step).alias("first_tool"), F.max_by(tool, step).alias("last_tool"))
     return per_run, trace.groupBy(run, tool).agg(F.count("*").alias("attempts"), F.count_if(failed).alias("failures"))
+
+
+def tool_sequence(trace: DataFrame, run: str, step: str, tool: str, time: str) -> DataFrame:
+    """The tools of every run in order, one row each: (run, step, tool, position, seconds_since the step before).
+
+    Positions are counted in two levels and the step before is looked up by position, so a run that holds much of the trace is not sorted in one task.
+    """
+    held = running(trace.select(run, step, tool, time).withColumn("_one", F.lit(1)), [run], step, ["_one"]).withColumn("position", F.col("before__one") + 1)
+    before = held.select(F.col(run).alias("_run"), (F.col("position") + 1).alias("_at"), F.col(time).alias("_before"))
+    out = held.join(before, F.col(run).eqNullSafe(F.col("_run")) & (F.col("position") == F.col("_at")), "left")
+    return out.select(run, step, tool, "position", (F.col(time) - F.col("_before")).cast("double").alias("seconds_since"))
+
+
+def run_durations(trace: DataFrame, run: str, time: str) -> DataFrame:
+    """(run, n_steps, seconds from the first to the last step)."""
+    return trace.groupBy(run).agg(F.count("*").alias("n_steps"), (F.max(time) - F.min(time)).alias("seconds"))

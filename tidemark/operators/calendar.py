@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -62,17 +64,21 @@ def weekday_adjust(df: DataFrame, value: str = "value", name: str = "adjusted",
     return out.withColumn(name, F.when(n >= least, adjusted).otherwise(F.col(value))).drop("_dow", "_i", "_m", "_all")
 
 
-def calendar_days(days: DataFrame, holidays: DataFrame, day: str = "day") -> DataFrame:
-    """Day table with weekend, holiday, working-day marks; a holiday on a weekday is a break day."""
+def calendar_days(days: DataFrame, holidays: DataFrame, day: str = "day", makeup: DataFrame | None = None) -> DataFrame:
+    """Day table with weekend, holiday, working-day marks; a holiday on a weekday is a break day, a weekend day listed in ``makeup`` is worked."""
     named = days.join(holidays, day, "left")
+    worked = F.lit(False)
+    if makeup is not None:
+        named = named.join(makeup.select(day, F.lit(True).alias("_worked")).distinct(), day, "left")
+        worked = F.coalesce("_worked", F.lit(False))
     weekend = F.weekday(day) >= 5
     return named.select(
-        "*", weekend.cast("int").alias("is_weekend"), F.col("name").isNotNull().cast("int").alias("is_holiday"),
-        (~weekend & F.col("name").isNull()).cast("int").alias("is_workday"))
+        *[c for c in named.columns if c != "_worked"], weekend.cast("int").alias("is_weekend"), F.col("name").isNotNull().cast("int").alias("is_holiday"),
+        (F.col("name").isNull() & (~weekend | worked)).cast("int").alias("is_workday"), (F.col("name").isNull() & weekend & worked).cast("int").alias("is_makeup"))
 
 
 def calendar_context(days: DataFrame, grain: str = "month", day: str = "day", festival: str = "春节") -> DataFrame:
-    """Per period: days, working and other days, break days, festival days, and the holidays with first and last day.
+    """Per period: days, working and other days, worked weekend days, break days, festival days, and the holidays with first and last day.
 
     A period ends before the next one begins.
     """
@@ -81,7 +87,7 @@ def calendar_context(days: DataFrame, grain: str = "month", day: str = "day", fe
     # at most a dozen holiday names exist per period
     listed = named.groupBy("period").agg(F.array_sort(F.collect_list(F.struct("first", "name", "n", "last"))).alias("holidays"))
     totals = days.groupBy(period).agg(
-        F.count("*").alias("n_days"), F.sum("is_workday").alias("n_workdays"), (F.count("*") - F.sum("is_workday")).alias("n_nonworkdays"),
+        F.count("*").alias("n_days"), F.sum("is_workday").alias("n_workdays"), (F.count("*") - F.sum("is_workday")).alias("n_nonworkdays"), F.sum("is_makeup").alias("makeup_workdays"),
         F.sum("is_holiday").alias("holiday_break_days"), F.count_if(F.col("name") == festival).alias("festival_days"))
     return totals.join(listed, "period", "left")
 
@@ -91,11 +97,18 @@ def weather_context(weather: DataFrame, periods: DataFrame) -> DataFrame:
     return periods.join(weather.withColumn("available", F.lit(True)), "period", "left").withColumn("available", F.coalesce("available", F.lit(False)))
 
 
-def weather_rollup(hourly: DataFrame, temp: str = "temp", time: str = "ts", key: str = "series_id", base: float = 18.0) -> DataFrame:
-    """Hours to days to months: mean, mean daily extremes, degree-day sums, hot and cold day counts."""
-    daily = hourly.groupBy(key, F.to_date(time).alias("day")).agg(F.avg(temp).alias("mean"), F.max(temp).alias("hi"), F.min(temp).alias("lo"))
+def weather_rollup(hourly: DataFrame, temp: str = "temp", time: str = "ts", key: str = "series_id", base: float = 18.0,
+                   means: Sequence[str] = (), sums: Sequence[str] = (), highs: Sequence[str] = ()) -> DataFrame:
+    """Hours to days to months: mean, mean daily extremes, degree-day sums, hot and cold day counts.
+
+    Further columns: ``means`` (humidity) as the mean of daily means, ``sums`` (precipitation, radiation) as totals,
+    ``highs`` (wind) as the highest hour, under the names <column>_mean, _sum and _max.
+    """
+    more = [F.avg(c).alias(f"_{c}") for c in means] + [F.sum(c).alias(f"_{c}") for c in sums] + [F.max(c).alias(f"_{c}") for c in highs]
+    monthly = [F.avg(f"_{c}").alias(f"{c}_mean") for c in means] + [F.sum(f"_{c}").alias(f"{c}_sum") for c in sums] + [F.max(f"_{c}").alias(f"{c}_max") for c in highs]
+    daily = hourly.groupBy(key, F.to_date(time).alias("day")).agg(F.avg(temp).alias("mean"), F.max(temp).alias("hi"), F.min(temp).alias("lo"), *more)
     zero = F.lit(0.0)
     return daily.groupBy(key, F.to_date(F.date_trunc("month", "day")).alias("period")).agg(
         F.avg("mean").alias("temp_mean"), F.avg("hi").alias("daily_max_mean"), F.avg("lo").alias("daily_min_mean"), F.max("hi").alias("temp_max"), F.min("lo").alias("temp_min"),
         F.sum(F.greatest(zero, base - F.col("mean"))).alias("hdd"), F.sum(F.greatest(zero, F.col("mean") - base)).alias("cdd"),
-        F.count_if(F.col("hi") >= 35).alias("hot_days"), F.count_if(F.col("lo") <= 0).alias("cold_days"), F.count("*").alias("n_days"))
+        F.count_if(F.col("hi") >= 35).alias("hot_days"), F.count_if(F.col("lo") <= 0).alias("cold_days"), F.count("*").alias("n_days"), *monthly)

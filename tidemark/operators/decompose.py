@@ -127,13 +127,10 @@ def reconstruction_error(vectors: DataFrame, k: int = 8, vector: str = "vector")
     size = F.size(vector)
     held = vectors.withColumn("_x", array_to_vector(F.col(vector)))
     model = PCA(k=k, inputCol="_x", outputCol="_p").fit(held)
-    axes = model.pc.toArray()
-    projected = model.transform(held).withColumn("_a", vector_to_array("_p")).drop("_p", "_x")
-    # back from the axes: sum over k of score_k * axis_k, per coordinate
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in axes])
-    back = F.transform(rows, lambda row: F.aggregate(F.zip_with(row, F.col("_a"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    error = F.aggregate(F.zip_with(F.col(vector), back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / size
-    return projected.withColumn("error", error).drop("_a")
+    # the axes are orthonormal: what is lost is the squared length less that of the projection
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)
+    projected = model.transform(held).withColumn("_a", vector_to_array("_p"))
+    return projected.withColumn("error", F.greatest(square(F.col(vector)) - square(F.col("_a")), F.lit(0.0)) / size).drop("_a", "_p", "_x")
 
 
 def min_max(value: str, key: str = "series_id") -> Column:

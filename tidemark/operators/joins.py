@@ -139,8 +139,9 @@ def bracket_of(value: Column, brackets: list[tuple[float, float, str]]) -> Colum
 
 
 def seeded_choice(options: Column, *identity: Column) -> Column:
-    """Repeatable pick from an array."""
-    return F.get(options, F.pmod(F.xxhash64(*identity), F.size(options)).cast("int"))
+    """Repeatable pick from an array, by a digest that any engine can compute."""
+    digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in identity]))
+    return F.get(options, (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.size(options)).cast("int"))
 
 
 def same_period_last_year(df: DataFrame, values: list[str], key: str = "series_id", time: str = "period") -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import calendar as cal
 from ..operators import decompose as dc
 from ..operators import joins as jn
 from ..operators import windows as wn
-from .calendars import HOLIDAY_SQL, holidays
+from .calendars import FESTIVAL_SQL, HOLIDAY_SQL, festival_ranges, holidays
 from .decomposition import DEC
 from .models import ONE_FEATURE, one_feature_predictions
 from .rankings import TRIPLES, triples
@@ -137,7 +137,20 @@ SELECT CAST(period AS VARCHAR) AS period, n_days, n_workdays, n_nonworkdays, hol
 def ag8(t):
     c = cal.calendar_context(calendar_table(t))
     shown = F.array_join(F.transform("holidays", lambda h: F.concat_ws(":", h["name"], h["n"].cast("string"), h["first"].cast("string"), h["last"].cast("string"))), " ")
-    return c.withColumn("holidays", F.coalesce(shown, F.lit("")))
+    return c.withColumn("holidays", F.coalesce(shown, F.lit(""))).drop("makeup_workdays")
+
+
+# the Sunday before a festival and the Saturday after it are worked
+@query("ag8_makeup_days", f"""
+WITH {_DAYS}, {FESTIVAL_SQL}, mk AS (SELECT CAST(first_day - INTERVAL 1 DAY * isodow(first_day) AS DATE) AS day FROM festivals UNION SELECT CAST(last_day + INTERVAL 1 DAY * (CASE WHEN isodow(last_day) < 6 THEN 6 ELSE 13 END - isodow(last_day)) AS DATE) FROM festivals),
+m AS (SELECT d.*, CAST(is_weekend = 1 AND name IS NULL AND day IN (SELECT day FROM mk) AS INTEGER) AS worked FROM days d)
+SELECT CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS period, count(*) AS n_days, CAST(sum(is_workday + worked) AS BIGINT) AS n_workdays, CAST(count(*) - sum(is_workday + worked) AS BIGINT) AS n_nonworkdays, CAST(sum(worked) AS BIGINT) AS makeup_workdays FROM m GROUP BY 1""")
+def ag8_makeup(t):
+    f = festival_ranges(t.spark)
+    before = f.select(F.date_sub("first_day", F.weekday("first_day") + 1).alias("day"))
+    after = f.select(F.next_day("last_day", "Sat").alias("day"))
+    days = cal.calendar_days(calendar_table(t).select("day"), holidays(t.spark), makeup=before.unionByName(after))
+    return cal.calendar_context(days).select("period", "n_days", "n_workdays", "n_nonworkdays", "makeup_workdays")
 
 
 _WEATHER = f"""{_DAYS}, tdays AS (SELECT day, {temperature_sql('day')} AS temp FROM days),
@@ -169,6 +182,17 @@ def ag10(t):
     return rounded(cal.weather_rollup(hours), 5)
 
 
+@query("ag10_weather_columns", f"""
+WITH h AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, avg(value) AS temp, avg(event_id % 100) AS humidity, sum(user_id % 7) AS rain, max(value) AS wind, sum(event_id % 13) AS sun FROM events GROUP BY 1, 2),
+d AS (SELECT series_id, CAST(ts AS DATE) AS day, avg(humidity) AS humidity, sum(rain) AS rain, max(wind) AS wind, sum(sun) AS sun FROM h GROUP BY 1, 2)
+SELECT series_id, CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS period, {r('avg(humidity)', 5)} AS humidity_mean, CAST(sum(rain) AS BIGINT) AS rain_sum, CAST(sum(sun) AS BIGINT) AS sun_sum, {r('max(wind)', 5)} AS wind_max FROM d GROUP BY ALL""")
+def ag10_columns(t):
+    e = t.events.select(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("ts"), "value", (F.col("event_id") % 100).alias("h"), (F.col("user_id") % 7).alias("r"), (F.col("event_id") % 13).alias("s"))
+    hours = e.groupBy("series_id", "ts").agg(F.avg("value").alias("temp"), F.avg("h").alias("humidity"), F.sum("r").alias("rain"), F.max("value").alias("wind"), F.sum("s").alias("sun"))
+    out = cal.weather_rollup(hours, means=["humidity"], sums=["rain", "sun"], highs=["wind"])
+    return rounded(out.select("series_id", "period", "humidity_mean", "rain_sum", "sun_sum", "wind_max"), 5)
+
+
 @query("ag11_sector_shares", f"""
 WITH c AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, o_orderpriority AS sector, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS s, count(*) AS n FROM orders GROUP BY 1, 2)
 SELECT CAST(period AS VARCHAR) AS period, sector, {r('s / n / 100', 5)} AS value, {r('s / n / (sum(s) OVER p / sum(n) OVER p) * 100')} AS share_of_mean, {r('s / n / sum(s / n) OVER p * 100')} AS share_of_sum FROM c WINDOW p AS (PARTITION BY period)""")
@@ -309,3 +333,16 @@ def ag23(t):
 SELECT conv_id, role, count(*) AS attempts, count(*) FILTER (length(text) < 100) AS failures FROM conversations GROUP BY 1, 2""")
 def ag23_tools(t):
     return ag.trace_statistics(t.conversations, "conv_id", "turn", "role", F.length("text") < 100)[1]
+
+
+@query("ag23_tool_sequence", """
+SELECT user_id, row_number() OVER w AS position, event_type AS tool, floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS seconds_since FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def ag23_sequence(t):
+    out = ag.tool_sequence(t.events.withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp"))), "user_id", "event_id", "event_type", "at")
+    return out.select("user_id", "position", F.col("event_type").alias("tool"), "seconds_since")
+
+
+@query("ag23_run_durations", """
+SELECT user_id, count(*) AS n_steps, CAST(max(floor(epoch(ts))) - min(floor(epoch(ts))) AS BIGINT) AS seconds FROM events GROUP BY 1""")
+def ag23_durations(t):
+    return ag.run_durations(t.events.withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp"))), "user_id", "at")

@@ -113,7 +113,10 @@ def jn8(t):
     return t.customer.select("c_custkey", jn.bracket_of(F.col("c_acctbal"), BRACKETS).alias("bracket"))
 
 
-@query("jn8_job_offer")
+@query("jn8_job_offer", """
+WITH b AS (SELECT c_custkey, CASE WHEN c_acctbal BETWEEN 8000 AND 100000 THEN 'top' WHEN c_acctbal BETWEEN 5000 AND 8000 THEN 'high' WHEN c_acctbal BETWEEN 2454 AND 5000 THEN 'middle'
+  WHEN c_acctbal BETWEEN 0 AND 2454 THEN 'low' WHEN c_acctbal BETWEEN -1000 AND 0 THEN 'none' END AS bracket FROM customer)
+SELECT c_custkey, bracket || ' job ' || (('0x' || left(md5(c_custkey || '|42'), 8))::BIGINT % 5 + 1) AS offer FROM b""")
 def jn8_offer(t):
     jobs = F.create_map(*[x for lo, hi, name in BRACKETS for x in (F.lit(name), F.array(*[F.lit(f"{name} job {i}") for i in range(1, 6)]))])
     bracket = jn.bracket_of(F.col("c_acctbal"), BRACKETS)

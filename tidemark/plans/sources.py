@@ -3,6 +3,7 @@
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import joins as jn
 from ..operators import series as ser
@@ -17,9 +18,12 @@ SELECT series_id, CAST(period AS VARCHAR) AS period, o_orderkey, amount FROM (
   SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS period, o_orderkey, o_totalprice AS amount,
     row_number() OVER (PARTITION BY o_orderpriority, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS i FROM orders) WHERE i = 1""")
 def src1(t):
-    lines = t.orders.select(F.to_csv(F.struct("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), "o_totalprice")).alias("line"))
-    parsed = csv.parse_csv_lines(lines, "line", "o_orderkey long, series_id string, period date, amount double")
-    return csv.keep_first(parsed.withColumn("_seq", F.col("o_orderkey")), ["series_id", "period"], "_seq").drop("_seq")
+    # written as CSV files in the order of the key, and read back
+    base = shared_dir(t.spark)
+    rows = t.orders.select(F.col("o_orderpriority").alias("series_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("period"), "o_orderkey", F.col("o_totalprice").alias("amount"))
+    csv.write_table(rows.orderBy("o_orderkey"), base, "csv")
+    schema = T.StructType().add("series_id", "string").add("period", "date").add("o_orderkey", "long").add("amount", "double")
+    return csv.read_csv(t.spark, base, schema, "period", ["series_id"])
 
 
 @query("src2_wide_to_long", f"""
@@ -216,3 +220,13 @@ def snk1(t):
         reader = t.spark.read.schema("period date, value double, n long, series_id string")
         back.append((reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(f"{base}/{fmt}").withColumn("fmt", F.lit(fmt)))
     return reduce(lambda a, b: a.unionByName(b), back)
+
+
+@query("src12_actions_and_rewards", f"""
+SELECT CAST(conv_id AS VARCHAR) AS episode, CAST(turn AS INTEGER) AS step, role AS agent, CAST(length(text) % 50 AS INTEGER) AS action, {r('length(text) / 100.0 - turn')} AS reward FROM conversations""")
+def src12_lists(t):
+    pair = lambda v: F.concat(F.lit('[{"'), F.col("role"), F.lit('": '), v.cast("string"), F.lit("}]"))
+    text = F.concat(F.lit('{"episode": "'), F.col("conv_id"), F.lit('", "offset": '), F.col("turn"), F.lit(', "actions": '), pair(F.length("text") % 50), F.lit(', "rewards": '), pair(F.length("text") / 100.0 - F.col("turn")), F.lit("}"))
+    log = t.conversations.select(F.from_json(text, "struct<episode:string,offset:int,actions:array<map<string,int>>,rewards:array<map<string,double>>>").alias("j")).select("j.*").withColumn("episode", F.struct("episode", "offset"))
+    both = logs.flatten_values(log, "actions", "action").join(logs.flatten_values(log, "rewards", "reward"), ["episode", "step", "agent"])
+    return rounded(both.select("episode.episode", (F.col("episode.offset") + F.col("step")).alias("step"), "agent", "action", "reward"))

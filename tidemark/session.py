@@ -16,6 +16,7 @@ def get_spark(app: str = "tidemark", master: str | None = None, shuffle_partitio
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.legacy.javaCharsets", "true")  # CSV files in national charsets
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")

@@ -34,8 +34,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, time: str, ke
     """
     def scan(encoding: str) -> DataFrame:
         if encoding.upper() not in STANDARD_CHARSETS:
-            # other Java charsets need this session switch, which must still hold when the plan runs
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+            # other Java charsets need a session that was started for them
+            if spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+                raise ValueError(f"{encoding} needs a session with spark.sql.legacy.javaCharsets=true")
         return spark.read.csv(path, header=True, schema=schema, sep=sep, encoding=encoding,
                               ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
 

@@ -19,6 +19,12 @@ def flatten_world(logs: DataFrame, world: str = "world") -> DataFrame:
     return logs.select("episode", F.posexplode(world).alias("step", "_w")).select("episode", "step", "_w.*")
 
 
+def flatten_values(logs: DataFrame, field: str, name: str) -> DataFrame:
+    """array<map<agent, value>> per episode (actions, rewards) into one row per (episode, step, agent)."""
+    steps = logs.select("episode", F.posexplode(field).alias("step", "_v"))
+    return steps.select("episode", "step", F.explode("_v").alias("agent", name))
+
+
 def replay(trace: DataFrame, run: str, step: str, phase: str, acting: str = "act") -> tuple[DataFrame, DataFrame]:
     """(steps with the count of tool calls so far, one summary row per run).
 

@@ -121,6 +121,24 @@ def explain(points: DataFrame, calendar: DataFrame, weather: DataFrame, key: str
     return df.select(*points.columns, "festival_now", "festival_before", causes.alias("causes"), rules.alias("rules"), open_points.alias("exclusions"))
 
 
+#: Entities of the seed graph that stand for a cause.
+CAUSE_ENTITIES = {"spring_festival_shift": "春节假期", "holiday_effect": "国庆假期", "weather_load": "高温天气", "economic_activity": "制造业"}
+
+
+def evidence(explained: DataFrame, graph: DataFrame, passages: DataFrame, key: str = "series_id", order: str = "period") -> DataFrame:
+    """One row per piece of evidence for a cause of a point: (key, order, cause_id, kind, source, detail).
+
+    ``explained`` is what :func:`explain` gives; triples of ``graph`` that touch the entity of a cause are of kind triple, with relation
+    and other end; ``passages`` (cause_id, doc_id, rank) of kind passage, with the document and its rank.
+    """
+    named = explained.select(key, order, F.explode("causes.cause_id").alias("cause_id"))
+    entity = F.create_map(*[F.lit(x) for pair in CAUSE_ENTITIES.items() for x in pair])[F.col("cause_id")]
+    ends = graph.select(F.col("src").alias("_e"), "rel", F.col("dst").alias("other")).unionByName(graph.select(F.col("dst").alias("_e"), "rel", F.col("src").alias("other")))
+    triples = named.withColumn("_e", entity).join(ends, "_e").select(key, order, "cause_id", F.lit("triple").alias("kind"), F.col("rel").alias("source"), F.col("other").alias("detail"))
+    texts = named.join(passages, "cause_id").select(key, order, "cause_id", F.lit("passage").alias("kind"), F.col("doc_id").cast("string").alias("source"), F.col("rank").cast("string").alias("detail"))
+    return triples.unionByName(texts)
+
+
 def seed_graph(spark: SparkSession) -> DataFrame:
     rows = [(i, *t) for i, t in enumerate(SEED_TRIPLES)]
     return spark.createDataFrame(rows, "position int, src string, rel string, dst string, type string")

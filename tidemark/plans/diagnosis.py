@@ -8,11 +8,13 @@ from ..operators import decompose as dc
 from ..operators import diagnose as dg
 from ..operators import joins as jn
 from ..operators import windows as wn
+from ..session import stage
 from .aggregates import EVENTS, _DAYS, _WEATHER, calendar_table, event_spans, monthly_weather, scored_days
 from .calendars import FESTIVAL_SQL, festival_ranges
 from .decomposition import SCAN
 from .rankings import _DEVIATION, _records
 from .registry import query, rounded
+from .retrieval import BM25, hits
 from .standins import MONTHLY, QUARTERLY, W, monthly, quarterly, r, revenue
 
 _P = "CAST(period AS VARCHAR) AS period"
@@ -38,8 +40,8 @@ def dgn1(t):
     return caused.select("record_type", "time", "sector", "series_id", shown.alias("causes"))
 
 
-def explanations(t):
-    points = dc.scan(dc.classical(monthly(t)), medium=0.0)
+def explanations(t, m=None):
+    points = dc.scan(dc.classical(monthly(t) if m is None else m), medium=0.0)
     return dg.explain(points, cal.calendar_context(calendar_table(t)), monthly_weather(t))
 
 
@@ -95,6 +97,29 @@ def dgn3(t):
     return diagnosed_events(t).select("series_id", "start", "end", "signature", F.col("n_causes").cast("int").alias("n_causes"), "top_cause", "indicator", "avg_pmi", "macro_note", "confidence")
 
 
+_BM25 = BM25.replace("d AS (", "docs AS (", 1).replace("FROM d)", "FROM docs)").replace("s AS (SELECT item_id", "sco AS (SELECT item_id").replace("FROM s WHERE", "FROM sco WHERE").replace("FROM d,", "FROM docs,")
+# the question asked about each cause: stand-ins are the first benchmark items
+ASKED = ("data_construction", "spring_festival_shift", "holiday_effect", "weather_load", "economic_activity", "structural_change")
+_ASKED_SQL = "asked(cause_id, item_id) AS (VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(ASKED)) + ")"
+_GRAPH_SQL = "graph(src, rel, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c, _ in dg.SEED_TRIPLES) + "), entities(cause_id, e) AS (VALUES " + ", ".join(f"('{c}', '{e}')" for c, e in dg.CAUSE_ENTITIES.items()) + ")"
+
+
+def passages(t):
+    """(cause_id, doc_id, score, rank): documents found for the question about each cause."""
+    number = F.create_map(*[F.lit(x) for i, c in enumerate(ASKED) for x in (i, c)])[F.col("item_id").cast("int")]
+    return hits(t).withColumn("cause_id", number).filter("cause_id IS NOT NULL").select("cause_id", "doc_id", "score", "rank")
+
+
+@query("dgn2_evidence", f"""
+WITH {_EXPLAIN}, {_BM25}, {_ASKED_SQL}, {_GRAPH_SQL},
+c AS (SELECT series_id, period, unnest(list_filter([CASE WHEN risks <> '' THEN 'data_construction' END, CASE WHEN f0 > 0 OR f1 > 0 THEN 'spring_festival_shift' END, CASE WHEN hb > 0 AND f0 = 0 THEN 'holiday_effect' END,
+  CASE WHEN wa AND month(period) IN (6, 7, 8, 12, 1, 2) THEN 'weather_load' END, 'economic_activity', 'structural_change'], lambda x: x IS NOT NULL)) AS cause_id FROM ex)
+SELECT series_id, {_P}, cause_id, 'triple' AS kind, rel AS source, other AS detail FROM c JOIN entities USING (cause_id) JOIN (SELECT src AS e, rel, dst AS other FROM graph UNION ALL SELECT dst, rel, src FROM graph) g USING (e)
+UNION ALL SELECT series_id, {_P}, cause_id, 'passage', CAST(doc_id AS VARCHAR), CAST(rank AS VARCHAR) FROM c JOIN asked USING (cause_id) JOIN k USING (item_id) WHERE rank <= 4""")
+def dgn2_evidence(t):
+    return dg.evidence(explanations(t), dg.seed_graph(t.spark), passages(t))
+
+
 def economy(t):
     """Sector growth per quarter as a fraction. P, a copy of A that does not report second quarters, is preferred; the next sector steps in there."""
     q = quarterly(t).withColumn("yoy", wn.lag_growth("value", 4) / 100).filter(F.col("yoy").isNotNull()).select("period", F.col("series_id").alias("sector"), "yoy")
@@ -116,6 +141,10 @@ def dgn4(t):
     return rounded(dg.divergence(monthly(t), economy(t)), 5)
 
 
+#: A passage of at least this score speaks to a cause.
+LEAST_SCORE = 40.0
+
+
 def asked_periods(t):
     """(series_id, period): each series' months and the half year after its last one."""
     span = monthly(t).groupBy("series_id").agg(F.min("period").alias("lo"), F.max("period").alias("last"))
@@ -123,34 +152,39 @@ def asked_periods(t):
 
 
 def judged(t):
-    m = monthly(t)
-    ex = explanations(t).select("series_id", "period", "residual_pct", (F.size("risks") > 0).alias("has_risks"), F.lit(True).alias("has_explanation"))
+    m = stage(monthly(t))
+    explained = stage(explanations(t, m))
+    ex = explained.select("series_id", "period", "residual_pct", (F.size("risks") > 0).alias("has_risks"), F.lit(True).alias("has_explanation"))
     raw = t.orders.select(F.col("o_orderpriority").alias("series_id"), F.col("o_orderkey"), F.to_date("o_orderdate").alias("day"))
     # a repeat is the same order twice, which the order table has none of
     flags = ag.quality_flags(m, raw.withColumnRenamed("o_orderkey", "key_day"), "key_day").select("series_id", F.size("flags").alias("n_flags"))
     short = dc.summary(dc.classical(m)).select("series_id", "endpoint_warning")
     econ = dg.divergence(m, economy(t)).select("series_id", "period", (F.col("missing") == "").alias("has_economy"))
-    hits = t.documents.filter(F.col("text").contains("ing")).agg(F.count("*")).scalar() > 0
-    out = asked_periods(t).join(ex, ["series_id", "period"], "left").join(econ, ["series_id", "period"], "left").join(flags, "series_id", "left").join(short, "series_id", "left")
-    out = out.withColumn("has_documents", hits).withColumn("has_series", F.col("n_flags").isNotNull()).withColumn("checked_quality", F.col("n_flags").isNotNull())
-    out = out.fillna(False, ["has_risks", "has_explanation", "has_economy", "endpoint_warning"]).fillna(0, ["n_flags"])
+    # the last two causes are left when nothing else is found, so only documents on the others count
+    found = passages(t).filter((F.col("score") >= LEAST_SCORE) & ~F.col("cause_id").isin(*ASKED[-2:])).select("cause_id").distinct()
+    backed = explained.select("series_id", "period", F.explode("causes.cause_id").alias("cause_id")).join(found, "cause_id").select("series_id", "period", F.lit(True).alias("has_documents")).distinct()
+    out = asked_periods(t).join(ex, ["series_id", "period"], "left").join(econ, ["series_id", "period"], "left").join(backed, ["series_id", "period"], "left").join(flags, "series_id", "left").join(short, "series_id", "left")
+    out = out.withColumn("has_series", F.col("n_flags").isNotNull()).withColumn("checked_quality", F.col("n_flags").isNotNull())
+    out = out.fillna(False, ["has_risks", "has_explanation", "has_documents", "has_economy", "endpoint_warning"]).fillna(0, ["n_flags"])
     return dg.verdict(out.withColumn("abort", F.col("period") > F.col("last")))
 
 
 @query("dgn5_verdict", f"""
-WITH {SCAN}, {QUARTERLY}, {_ECON}, span AS (SELECT series_id, min(period) AS lo, max(period) AS hi, count(*) AS n, datediff('month', min(period), max(period)) + 1 AS expected FROM monthly GROUP BY 1),
+WITH {_EXPLAIN}, {QUARTERLY}, {_ECON}, {_BM25}, {_ASKED_SQL}, spans AS (SELECT series_id, min(period) AS lo, max(period) AS hi, count(*) AS n, datediff('month', min(period), max(period)) + 1 AS expected FROM monthly GROUP BY 1),
 st AS (SELECT series_id, lag(value) {W} AS a, value AS b FROM monthly), sd AS (SELECT series_id, b - a AS d FROM st WHERE a IS NOT NULL), jm AS (SELECT series_id, median(d) AS m FROM sd GROUP BY 1), ja AS (SELECT series_id, median(abs(d - m)) AS mad FROM sd JOIN jm USING (series_id) GROUP BY 1),
 jump AS (SELECT DISTINCT series_id FROM sd JOIN ja USING (series_id) WHERE mad > 1e-12 AND abs(d) > 8 * 1.4826 * mad),
-fl AS (SELECT series_id, CAST(n < 24 AS INTEGER) + CAST(n < expected AS INTEGER) + CAST(series_id IN (SELECT series_id FROM jump) AS INTEGER) AS n_flags, n >= 24 AND n < 36 AS short FROM span),
-ask AS (SELECT series_id, hi, CAST(unnest(generate_series(lo, hi + INTERVAL 6 MONTH, INTERVAL 1 MONTH)) AS DATE) AS period FROM span),
+fl AS (SELECT series_id, CAST(n < 24 AS INTEGER) + CAST(n < expected AS INTEGER) + CAST(series_id IN (SELECT series_id FROM jump) AS INTEGER) AS n_flags, n >= 24 AND n < 36 AS short FROM spans),
+ask AS (SELECT series_id, hi, CAST(unnest(generate_series(lo, hi + INTERVAL 6 MONTH, INTERVAL 1 MONTH)) AS DATE) AS period FROM spans),
+found AS (SELECT cause_id FROM asked JOIN k USING (item_id) WHERE rank <= 4 AND score >= {LEAST_SCORE}), backed AS (SELECT series_id, period FROM ex WHERE (risks <> '' AND 'data_construction' IN (FROM found)) OR ((f0 > 0 OR f1 > 0) AND 'spring_festival_shift' IN (FROM found)) OR (hb > 0 AND f0 = 0 AND 'holiday_effect' IN (FROM found))
+  OR (wa AND month(period) IN (6, 7, 8, 12, 1, 2) AND 'weather_load' IN (FROM found))),
 j AS (SELECT a.series_id, a.period, a.period > a.hi AS abort, d.residual_pct, d.series_id IS NOT NULL AS ok, coalesce(d.risks <> '', false) AS risky, n_flags, short, coalesce(nc.load_yoy IS NOT NULL AND nc.economy_yoy IS NOT NULL, false) AS eco,
-  (SELECT count(*) FROM documents WHERE contains(text, 'ing')) > 0 AS docs FROM ask a JOIN fl USING (series_id) LEFT JOIN scan_tag d ON d.series_id = a.series_id AND d.period = a.period LEFT JOIN nc ON nc.series_id = a.series_id AND nc.period = a.period),
-k AS (SELECT *, greatest(0.15, least(0.75, 0.62 - CASE WHEN short THEN 0.08 ELSE 0 END - 0.06 * least(n_flags, 2) - CASE WHEN ok AND risky THEN 0.10 ELSE 0 END - CASE WHEN ok AND NOT docs THEN 0.05 ELSE 0 END - CASE WHEN NOT ok THEN 0.12 ELSE 0 END - CASE WHEN NOT eco THEN 0.06 ELSE 0 END)) AS held,
+  (a.series_id, a.period) IN (SELECT (series_id, period) FROM backed) AS docs FROM ask a JOIN fl USING (series_id) LEFT JOIN scan_tag d ON d.series_id = a.series_id AND d.period = a.period LEFT JOIN nc ON nc.series_id = a.series_id AND nc.period = a.period),
+kk AS (SELECT *, greatest(0.15, least(0.75, 0.62 - CASE WHEN short THEN 0.08 ELSE 0 END - 0.06 * least(n_flags, 2) - CASE WHEN ok AND risky THEN 0.10 ELSE 0 END - CASE WHEN ok AND NOT docs THEN 0.05 ELSE 0 END - CASE WHEN NOT ok THEN 0.12 ELSE 0 END - CASE WHEN NOT eco THEN 0.06 ELSE 0 END)) AS held,
   coalesce(ok AND abs(residual_pct) < 0.05, false) AS small FROM j)
 SELECT series_id, {_P}, round(CAST(CASE WHEN abort THEN least(held, 0.30) WHEN small THEN least(held + 0.12, 0.8) ELSE held END AS DOUBLE), 2) AS confidence, CASE WHEN abort THEN 'data_quality_risk' WHEN small THEN 'observed' WHEN ok THEN 'candidate_cause' ELSE 'observed' END AS causal_status,
   array_to_string(list_filter([CASE WHEN ok THEN 'no_direct_economic_indicator' ELSE 'no_exclusion_run' END, CASE WHEN eco THEN 'units_not_aligned' END, CASE WHEN NOT abort AND small THEN 'would_fall_with_repeated_deviation' END], lambda x: x IS NOT NULL), ',') AS counter_evidence,
   array_to_string(list_filter([CASE WHEN short THEN 'short_sample' END, CASE WHEN n_flags > 0 THEN 'quality_flags' END, CASE WHEN ok AND risky THEN 'construction_risk' END, CASE WHEN ok AND NOT docs THEN 'no_documents' END, CASE WHEN NOT ok THEN 'not_explained' END,
-    CASE WHEN NOT eco THEN 'no_economy_check' END, CASE WHEN NOT abort AND small THEN 'single_reading' END], lambda x: x IS NOT NULL), ',') AS uncertainty FROM k""")
+    CASE WHEN NOT eco THEN 'no_economy_check' END, CASE WHEN NOT abort AND small THEN 'single_reading' END], lambda x: x IS NOT NULL), ',') AS uncertainty FROM kk""")
 def dgn5(t):
     return judged(t).select("series_id", "period", "confidence", "causal_status", F.array_join("counter_evidence", ",").alias("counter_evidence"), F.array_join("uncertainty", ",").alias("uncertainty"))
 

@@ -13,18 +13,25 @@ def _tokens_sql(text):
     return rf"""list_concat(regexp_extract_all(lower({text}), '[a-z0-9_]+'), list_filter(list_transform(list_zip(string_split(regexp_replace(lower({text}), '[^\x{{4e00}}-\x{{9fff}}]', '', 'g'), ''), string_split(regexp_replace(lower({text}), '[^\x{{4e00}}-\x{{9fff}}]', '', 'g'), '')[2:]), lambda z: z[1] || z[2]), lambda x: length(x) = 2))"""
 
 
-@query("ret1_bm25", f"""
-WITH d AS (SELECT doc_id, {_tokens_sql("text || ' ' || source")} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS av FROM d),
+BM25 = f"""d AS (SELECT doc_id, {_tokens_sql("text || ' ' || source")} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS av FROM d),
 q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_tokens_sql('text')}) AS term FROM benchmark) GROUP BY 1, 2),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT item_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))) AS score FROM tf JOIN q USING (term) JOIN df USING (term), n GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0)
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0)"""
+
+
+def hits(t):
+    """The best documents for every benchmark item."""
+    docs = t.documents.select("doc_id", F.concat_ws(" ", "text", "source").alias("text"))
+    return rt.bm25(docs, "doc_id", F.col("text"), t.benchmark.withColumnRenamed("text", "ask"), "item_id", F.col("ask"))
+
+
+@query("ret1_bm25", f"""
+WITH {BM25}
 SELECT item_id, doc_id, {r('score', 4)} AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 4""")
 def ret1(t):
-    docs = t.documents.select("doc_id", F.concat_ws(" ", "text", "source").alias("text"))
-    hits = rt.bm25(docs, "doc_id", F.col("text"), t.benchmark.withColumnRenamed("text", "ask"), "item_id", F.col("ask"))
-    return rounded(hits.select("item_id", "doc_id", "score", "rank"), 4)
+    return rounded(hits(t).select("item_id", "doc_id", "score", "rank"), 4)
 
 
 def _cells_sql(table, key):

@@ -45,6 +45,12 @@ def classical(df: DataFrame, period: int = 12, key: str = "series_id", order: st
         key, order, F.col(value).alias("value"), "trend", "seasonal", "residual", "expected", "residual_pct", "use_log", F.lit(period).alias("cycle"))
 
 
+def rejected(df: DataFrame, period: int = 12, key: str = "series_id", value: str = "value") -> DataFrame:
+    """(key, n, reason) for every series that :func:`classical` leaves out: it needs two whole cycles of values."""
+    sizes = df.groupBy(key).agg(F.count(value).alias("n")).filter(F.col("n") < 2 * period)
+    return sizes.withColumn("reason", F.concat(F.lit(f"needs {2 * period} points, has "), F.col("n").cast("string")))
+
+
 def strengths(dec: DataFrame, key: str = "series_id") -> DataFrame:
     return dec.groupBy(key).agg(
         share_of_variance(F.col("residual"), F.col("trend")).alias("trend_strength"),

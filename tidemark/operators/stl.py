@@ -234,3 +234,16 @@ def stl(df: DataFrame, spans: Callable[[int], list[dict[str, int]]], least: int,
 
     points = df.select(key, order, F.col(value).alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     return by_series(points, key, order).mapInPandas(fit, schema)
+
+
+def rejected(df: DataFrame, spans: Callable[[int], list[dict[str, int]]], least: int, key: str = "series_id", value: str = "value") -> DataFrame:
+    """(key, n, reason) for every series that :func:`stl` leaves out: too few points, or none of its settings fits the length."""
+    sizes = df.groupBy(key).agg(F.count_if(F.col(value).isNotNull() & ~F.isnan(value)).alias("n"))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fine = [any(n >= max(least, 2 * s["period"]) and fits(s) for s in spans(n)) for n in pdf["n"]]
+            short = pdf[~np.array(fine, bool)]
+            yield short.assign(reason=[f"no setting fits {n} points" for n in short["n"]])
+
+    return sizes.mapInPandas(judge, f"{key} {dict(df.dtypes)[key]}, n long, reason string")

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from ..functions import numbers as num
 from ..functions import periods as per
 from ..functions import text as txt
+from ..operators import decompose as dc
 from ..operators import series as ser
+from ..operators import stl
 from .registry import query, rounded
 from .standins import DAILY, MONTHLY, daily, money, monthly, r, temperature, temperature_sql
 
@@ -153,6 +155,16 @@ def prj8(t):
         rejected.withColumnRenamed("reason", "outcome"))
 
 
+@query("prj8_rejected_series", f"""
+WITH {_BY_CUSTOMER}
+SELECT o_custkey AS series_id, n, 'classical' AS by, 'needs 24 points, has ' || n AS reason FROM sized WHERE n < 24
+UNION ALL SELECT o_custkey, n, 'stl', 'no setting fits ' || n || ' points' FROM sized WHERE n < 26""")
+def prj8_rejected(t):
+    points = t.orders.groupBy(F.col("o_custkey").alias("series_id"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("period")).agg(money("o_totalprice").alias("value"))
+    monthly_spans = stl.cycle_spans(12)
+    return dc.rejected(points).withColumn("by", F.lit("classical")).unionByName(stl.rejected(points, monthly_spans, 26).withColumn("by", F.lit("stl")))
+
+
 @query("prj9_severity", f"""
 WITH {MONTHLY}, m AS (SELECT *, 100 * (value / avg(value) OVER (PARTITION BY series_id) - 1) AS x FROM monthly),
 s AS (SELECT series_id, CASE WHEN abs(x) >= 10 THEN 'strong' WHEN abs(x) >= 6 THEN 'watch' ELSE 'normal' END AS load,

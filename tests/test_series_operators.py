@@ -144,7 +144,8 @@ def test_holiday_smoothing(series):
 
 @pytest.mark.parametrize("text, want", [
     ("2021-01", "2021-01-01"), ("2024Q3", "2024-07-01"), ("2024-Q3", "2024-07-01"), ("2021", "2021-01-01"), ("202101", "2021-01-01"), ("2024-01-15", "2024-01-15"),
-    ("2021-1", "2021-01-01"), ("2021/7", "2021-07-01"), ("garbage", None), ("2024-13", None), ("", None), (None, None), ("NaT", None), ("2024-02-31", None)])
+    ("2021-1", "2021-01-01"), ("2021/7", "2021-07-01"), ("garbage", None), ("2024-13", None), ("", None), (None, None), ("NaT", None), ("2024-02-31", None),
+    ("2024/01/15", "2024-01-15"), ("2024/1/5", "2024-01-05"), ("2024-1-5", "2024-01-05"), ("20240115", "2024-01-15"), ("2024-01-15T08:00:00.5", "2024-01-15"), ("2024-01-15 8:05", "2024-01-15"), ("20241340", None), ("2024/1-5", None)])
 def test_parse_period(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(per.parse_period(F.col("t")).cast("date").cast("string")).first()[0]
     assert got == want

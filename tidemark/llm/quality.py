@@ -110,7 +110,7 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, bins: int = 64, rate: float = 0.1, smooth: float = 1.0, least: float = 4.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, bins: int = 64, rate: float = 0.1, smooth: float = 1.0, least: float = 1.0) -> Trees:
     """Boosting on the logistic loss. Features are cut into at most ``bins`` bins at quantiles; splits are found on histograms of gradients.
 
     Without rows the score is 0.5 everywhere, with one class only it is close to that class.

@@ -6,6 +6,7 @@ import zlib
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -34,7 +35,7 @@ def run(spark, name):
 
 
 def plain(frame):
-    return sorted(tuple(None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
+    return sorted(tuple("" if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -147,17 +147,18 @@ WITH {TAXED}, l AS (SELECT z, marginal_rate AS m FROM taxed {cut}), u AS (SELECT
 SELECT n, {r('CASE WHEN n >= 10 AND sd >= 1e-6 THEN 0.02 * greatest(b, 0) + 0.98 * 0.5 ELSE 0.5 END')} AS elasticity, {r('CASE WHEN n >= 10 AND sd >= 1e-6 THEN a ELSE 0.5 END', 5)} AS log_z0 FROM f"""
 
 
-_LATEST = [F.col("year").desc(), F.col("agent").desc()]
+def _latest():
+    return [F.col("year").desc(), F.col("agent").desc()]
 
 
 @query("ec10_income_elasticity", _elasticity_sql(""))
 def ec10(t):
-    return rounded(mp.income_elasticity(taxed(t), "z", "marginal_rate", _LATEST), 6, log_z0=5)
+    return rounded(mp.income_elasticity(taxed(t), "z", "marginal_rate", _latest()), 6, log_z0=5)
 
 
 @query("ec10_elasticity_of_latest_500", _elasticity_sql("ORDER BY year DESC, agent DESC LIMIT 500"))
 def ec10_latest(t):
-    return rounded(mp.income_elasticity(taxed(t), "z", "marginal_rate", _LATEST, keep=500), 6, log_z0=5)
+    return rounded(mp.income_elasticity(taxed(t), "z", "marginal_rate", _latest(), keep=500), 6, log_z0=5)
 
 
 BINS = YEARLY + """, w AS (SELECT 510300.0 / 100 AS width),

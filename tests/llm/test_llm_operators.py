@@ -327,6 +327,21 @@ def test_lines_against_brute_force(spark):
     assert set(want) <= set(kept)
 
 
+def test_lines_are_told_apart_by_all_their_characters(spark):
+    pair = [("https://www.a.org/about/the/people", "https://www.b.org/imprint?lang=en&v=2"),
+            ("春天的早晨阳光照在窗台上鸟儿在树枝间歌唱孩子们走路去学校", "春天的早晨阳光照在窗台上商人打开店门准备一天的买卖和账目"),
+            ("session-id-0000-4f2a9c71d0e8b35a77", "session-id-0000-b81e6d3c920f5a4411"),
+            ("\U0001F600\U0001F601" * 6 + "abcdefghijklmnop", "\U0001F600\U0001F601" * 6 + "qrstuvwxyz012345")]
+    copies = [("x" * 70 + "".join(map(str, range(60))), "x" * 70 + "".join(map(str, range(59))) + "5!")]
+    texts = [t for p in pair + copies for t in p]
+    rows = lines.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in rows] == [0] * 9 + [1]
+    short = spark.createDataFrame([(1, "a" * 9), (2, "ab\U0001F600" * 60)], "h long, line string")
+    got = {(r["h"], r["s"]) for r in lines._each_shingle(short, 10).collect()}
+    want = short.select("h", F.explode(lines.shingles(F.col("line"), 10)).alias("s")).withColumn("s", F.xxhash64("s")).collect()
+    assert got == {(r["h"], r["s"]) for r in want} and len(got) == 1 + 3
+
+
 def test_lines_odd_rows(spark, odd):
     out = lines.line_dedup(odd)
     assert out.count() == odd.count() and set(odd.columns) | {"n_lines", "n_removed"} == set(out.columns)

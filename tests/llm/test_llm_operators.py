@@ -342,6 +342,33 @@ def test_lines_are_told_apart_by_all_their_characters(spark):
     assert got == {(r["h"], r["s"]) for r in want} and len(got) == 1 + 3
 
 
+def test_lines_of_one_template_against_brute_force(spark):
+    rng = random.Random(17)
+    fresh = lambda n: "".join(rng.choice(string.ascii_lowercase) for _ in range(n))
+    head, source = fresh(140), fresh(200)
+    family = [head + fresh(22) for _ in range(160)]  # about 0.75 alike
+    family += [t[:-2] + fresh(2) for t in family[:60]]  # each near to one of them only
+    star = [source] + [source[:i] + "0" + source[i + 1:] for i in rng.sample(range(20, 180), 80)]  # near to their source
+    texts = family + star
+    sets = [{t[i:i + 10] for i in range(len(t) - 9)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if find(i) != i}
+    rows = lines.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    gone = {r["doc_id"] for r in rows if r["n_removed"]}
+    assert len(want) == 140 and gone <= want and len(want - gone) <= 2
+
+
 def test_lines_odd_rows(spark, odd):
     out = lines.line_dedup(odd)
     assert out.count() == odd.count() and set(odd.columns) | {"n_lines", "n_removed"} == set(out.columns)

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each beside the SQL that gives the same rows where there is one."""
+"""The registered queries of the operators, each beside the SQL that gives the same rows where there is one."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Tables, rounded
-from . import fingerprints, lines, lm, mips, mixing, near_dup, packing, quality, sharding, warc
+from . import clusters, divergence, fingerprints, lines, lm, mips, mixing, near_dup, packing, quality, sharding, warc
 
 #: Weights that the mixing query and the pipeline aim at, by language.
 TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
@@ -170,3 +170,39 @@ def op10(t: Tables) -> DataFrame:
     """Expected and whole copies of every document, for target weights by language."""
     model, table = mixing.mix_rates(t.documents, labelled_languages(t.documents, t.labels), TARGETS, least=1.0)
     return table.select("doc_id", "n_tokens", "posterior", "rate", "copies")
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Common table expressions of all rounds: distances by inner products, sums column by column."""
+    near = "SELECT r, vec_id, min({{d: d, c: c}}) AS p FROM (SELECT v.r, v.vec_id, c.c, CAST(list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x) AS BIGINT) AS d FROM v CROSS JOIN c{n} c) GROUP BY r, vec_id"
+    out = []
+    for n in range(rounds):
+        out.append(f"a{n} AS MATERIALIZED ({near.format(n=n)})")
+        out.append(f"s{n} AS (SELECT c, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY i) AS x FROM (SELECT a.p.c AS c, i, sum(v.x[i]::BIGINT) AS s, count(*) AS n FROM a{n} a JOIN v USING (r) CROSS JOIN range(1, 65) g(i) GROUP BY 1, 2) GROUP BY c)")
+        out.append(f"c{n + 1} AS MATERIALIZED (SELECT c, coalesce(s.x, b.x) AS x FROM c{n} b LEFT JOIN s{n} s USING (c))")
+    return ", ".join([*out, f"a AS MATERIALIZED ({near.format(n=rounds)})"])
+
+
+@_query("op11_clusters", f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), x) - 1 AS c, x FROM v ORDER BY c LIMIT 40), {_rounds_sql(5)}
+SELECT vec_id, CAST(a.p.c AS INTEGER) AS cluster, a.p.d AS distance, CAST(sum(a.p.d) OVER (PARTITION BY a.p.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.p.d) OVER () AS BIGINT) AS inertia,
+ sha256(list_aggregate(list_transform(c5.x, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), 'string_agg', ',')) AS centroid_sha256 FROM a JOIN c5 ON c5.c = a.p.c""".replace("{{", "{").replace("}}", "}"))
+def op11(t: Tables) -> DataFrame:
+    """All vectors in forty clusters, with the inertia of each and of all."""
+    return clusters.clusters(t.embeddings, k=40, rounds=5)
+
+
+@_query("op13_divergence", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d), t AS (SELECT lang, term FROM o GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN t USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS v FROM t GROUP BY 1) USING (lang)),
+p AS (SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) AS p FROM g JOIN t USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)) // (any_value(a) + 2 * any_value(v)) AS q FROM c JOIN (SELECT lang, sum(n) AS a, max(v) AS v FROM g GROUP BY 1) USING (lang) GROUP BY 1, 2),
+u AS (SELECT lang, source, 'pair' AS part, other AS item, coalesce(value, 0) AS value FROM (SELECT g.lang, g.source, h.source AS other FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source) LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) USING (lang, source, other)
+ UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u) WHERE part = 'pair' OR rank <= 10""")
+def op13(t: Tables) -> DataFrame:
+    """Divergence of all sources of a language from one another, and the terms that mark each."""
+    return divergence.divergence(t.documents)

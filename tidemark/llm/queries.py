@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Tables, rounded
-from . import clusters, divergence, fingerprints, lines, lm, mips, mixing, near_dup, packing, quality, sharding, warc
+from . import clusters, divergence, fingerprints, graph, lines, lm, mips, mixing, near_dup, packing, quality, sharding, warc
 
 #: Weights that the mixing query and the pipeline aim at, by language.
 TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
@@ -193,6 +193,17 @@ def op11(t: Tables) -> DataFrame:
     return clusters.clusters(t.embeddings, k=40, rounds=5)
 
 
+@_query("op12_near_vectors", """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+s AS MATERIALIZED (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.r AS a, b.r AS b, b.vec_id FROM s a JOIN s b ON len(a.x) = len(b.x) AND a.r <> b.r WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+w AS (SELECT r, r AS node, vec_id FROM v UNION SELECT w.r, e.b, e.vec_id FROM w JOIN e ON e.a = w.node)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, v.vec_id IS NOT DISTINCT FROM m.c AS kept FROM v LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) n ON n.a = v.r JOIN (SELECT r, min(vec_id) AS c FROM w GROUP BY 1) m ON m.r = v.r""")
+def op12(t: Tables) -> DataFrame:
+    """Near-duplicate classes of all vectors by cosine."""
+    return graph.near_vectors(t.embeddings)
+
+
 @_query("op13_divergence", rf"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 o AS (SELECT r, lang, source, unnest(w) AS term FROM d), t AS (SELECT lang, term FROM o GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),

@@ -288,7 +288,7 @@ def test_components(spark):
 
 
 def line_set(line, width=10):
-    return {line[m.start():m.start() + width] for m in re.finditer(r"(?<!\S)\S", line)}
+    return {line[i:i + width] for i in range(max(1, len(line) - width + 1))}
 
 
 def test_lines_against_brute_force(spark):
@@ -338,8 +338,9 @@ def test_lines_are_told_apart_by_all_their_characters(spark):
     assert [r["n_removed"] for r in rows] == [0] * 9 + [1]
     short = spark.createDataFrame([(1, "a" * 9), (2, "ab\U0001F600" * 60)], "h long, line string")
     got = {(r["h"], r["s"]) for r in lines._each_shingle(short, 10).collect()}
-    want = short.select("h", F.explode(lines.shingles(F.col("line"), 10)).alias("s")).withColumn("s", F.xxhash64("s")).collect()
-    assert got == {(r["h"], r["s"]) for r in want} and len(got) == 1 + 3
+    runs = spark.createDataFrame([(r["h"], s) for r in short.collect() for s in line_set(r["line"])], "h long, s string")
+    assert got == {(r["h"], r["s"]) for r in runs.select("h", F.xxhash64("s").alias("s")).collect()} and len(got) == 1 + 3
+    assert got == {(r["h"], r["s"]) for r in short.select("h", F.explode(lines.shingles(F.col("line"), 10)).alias("s")).collect()}
 
 
 def test_lines_of_one_template_against_brute_force(spark):
@@ -415,6 +416,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_near_duplicates_of_one_template(spark):
+    rng = random.Random(29)
+    fresh = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    head = fresh(171)
+    texts, pairs = [], 300
+    for _ in range(pairs):  # two documents at 0.81, about 0.74 from all others
+        own = fresh(30)
+        texts += [" ".join([*head, *own, *fresh(1)] if i else [*head, *own[:19], *fresh(11)]) for i in range(2)]
+    sets = [shingle_set(t, 2) for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(like(2 * i, 2 * i + 1) >= 0.8 for i in range(pairs)) and max(like(2 * i, j) for i in range(50) for j in range(2 * pairs) if j // 2 != i) < 0.8
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=2, at_once=1 << 14).collect()}
+    assert all(c // 2 == i // 2 for i, c in got.items())
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(pairs)) >= 0.97 * pairs
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     rows = near_dup.near_duplicates(odd).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted({r["doc_id"] for r in odd.collect() if r["doc_id"] is not None})

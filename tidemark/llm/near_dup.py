@@ -5,7 +5,9 @@ documents that agree on the minwise tokens chosen along its path. A node of few
 compared exhaustively; a larger one is branched again: its path picks one minwise
 coordinate, sometimes a second, and documents with the same token there go on together. On
 average a pair at the threshold keeps one common path per level, so every tree finds it
-with a fair chance and the trees together nearly always.
+with a fair chance and the trees together nearly always. Copies by the thousand would be branched
+for ever: at one level they are linked with what is closest to most of their node, and from then on a node
+is done when all it holds is linked already, or when the few others have met the rest of it.
 """
 
 from __future__ import annotations
@@ -88,79 +90,135 @@ def shingle_sets(docs: DataFrame, doc: str, text: str, words: int) -> DataFrame:
 
 
 def nodes(table: DataFrame, trees: int, second: float) -> DataFrame:
-    """(rep, w0-w3, node): every class once for each node it goes on to, from the nodes in its ``parents``, or from the roots where that is null."""
+    """(rep, w0-w3, comp, node): every class once for each node it goes on to, from the nodes in its ``parents``, or from the roots where that is null."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                tokens = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                above = part.column(6)
+                tokens = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+                above = part.column(7)
                 if above.null_count:
                     row, node = roots(len(part), trees)
                 else:
                     row, node = np.repeat(np.arange(len(part)), above.value_lengths().to_numpy()), above.flatten().to_numpy().view(U)
                 row, node = branch(tokens, row, node, second)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*[part.column(n).take(at) for n in range(5)], pa.array(node.view(np.int64))], names=["rep", "w0", "w1", "w2", "w3", "node"])
+                yield pa.RecordBatch.from_arrays([*[part.column(n).take(at) for n in range(6)], pa.array(node.view(np.int64))], names=["rep", "w0", "w1", "w2", "w3", "comp", "node"])
 
-    return table.select("rep", "w0", "w1", "w2", "w3", "tokens", "parents").mapInArrow(local, "rep long, w0 long, w1 long, w2 long, w3 long, node long")
+    return table.select("rep", "w0", "w1", "w2", "w3", "comp", "tokens", "parents").mapInArrow(local, "rep long, w0 long, w1 long, w2 long, w3 long, comp long, node long")
 
 
-def candidates(table: DataFrame, trees: int, depth: int, second: float, small: int, leaders: int, least: int) -> DataFrame:
-    """Pairs (a, b, s) of classes that meet in a node and whose sketches agree in s coordinates, ``least`` or more. The staged ``table`` is used up."""
-    found, sketch = [], F.struct("rep", "w0", "w1", "w2", "w3").alias("d")
-    table = table.withColumn("parents", F.lit(None).cast("array<long>"))
-    for level in range(depth):
+def candidates(table: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, trees: int, lead: int, second: float, small: int, leaders: int, least: int, at_once: int, levels: int = 48) -> DataFrame:
+    """Pairs (a, b, s) of classes that meet in a node and may be linked, s growing with their likeness. The staged ``table`` is used up.
+
+    Small nodes are compared by sketches that agree in ``least`` coordinates. From level ``lead`` on (see `_attached`) a large node is done if all
+    of it is linked already; if its others times its size are at most ``at_once``, they meet all of it by `parities`; if not, or at an earlier level, it is branched.
+    """
+    found, sketch, marks = [], F.struct("rep", "w0", "w1", "w2", "w3", "comp").alias("d"), None
+    table = table.withColumn("comp", F.col("rep")).withColumn("parents", F.lit(None).cast("array<long>"))
+    for level in range(levels):
         rows = nodes(table, trees, second)
-        sizes = stage(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
+        sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("n"), F.max("c").alias("c")) if marks is not None else rows.groupBy("node").agg(F.count("*").alias("n"), F.lit(1).cast("long").alias("c"))
+        sizes = stage(sizes.filter("n > c"))
         # large nodes are left behind before anything is gathered by node
         few = rows.join(sizes.filter(F.col("n") <= small).select("node"), "node", "left_semi").repartition("node")
         few = few.groupBy("node").agg(F.collect_list(sketch).alias("ds"))
-        near = F.transform("ds", lambda x: F.transform(F.filter("ds", lambda y: (y["rep"] > x["rep"]) & (_agree(x, y) >= least)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"), _agree(x, y).alias("s"))))
+        near = F.transform("ds", lambda x: F.transform(F.filter("ds", lambda y: (y["rep"] > x["rep"]) & (y["comp"] != x["comp"]) & (_agree(x, y) >= least)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"), _agree(x, y).cast("long").alias("s"))))
         found.append(stage(few.select(F.explode(F.flatten(near)).alias("p")).select("p.a", "p.b", "p.s").distinct()))
-        large = sizes.filter(F.col("n") > small).select("node")
-        if level + 1 == depth:
-            found.append(_led(rows.join(large, "node", "left_semi").select("node", sketch), leaders, least))
-        else:
-            # only the large nodes of a class are branched; it is in a bounded number of nodes of a level
-            going = rows.select("rep", "node").join(large, "node", "left_semi").groupBy("rep").agg(F.collect_list("node").alias("parents"))
-            table = stage(table.drop("parents").join(going, "rep"))
-            release(table.sparkSession)
-            if table.isEmpty():
-                break
+        large = sizes.filter(F.col("n") > small)
+        if level >= lead and not large.isEmpty():
+            if marks is None:
+                crowd = stage(rows.join(large.select("node"), "node", "left_semi").select("node", sketch))
+                held = sets_of(crowd.select(F.col("d.rep").alias("doc_id")).distinct())
+                sure, known = _attached(crowd, held, similarity, leaders, least)
+                found.append(sure)
+                marks = parities(held)
+                table = table.drop("comp").join(known.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+                rows = nodes(table, trees, second)
+                sizes = rows.join(large.select("node"), "node", "left_semi").groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("n"), F.max("c").alias("c"))
+                large = stage(sizes.filter("n > c"))
+            direct = ((F.col("n") - F.col("c")) * F.col("n") <= at_once) | F.lit(level + 1 == levels)
+            found.append(_blocks(rows.select("rep", "comp", "node").join(large.filter(direct).select("node"), "node", "left_semi"), marks, similarity))
+            large = large.filter(~direct)
+        # only the large nodes of a class are branched; it is in a bounded number of nodes of a level
+        going = rows.select("rep", "node").join(large.select("node"), "node", "left_semi").groupBy("rep").agg(F.collect_list("node").alias("parents"))
+        table = stage(table.drop("parents").join(going, "rep"))
+        release(table.sparkSession)
+        if table.isEmpty():
+            break
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
     return out.distinct()
 
 
-def _led(rows: DataFrame, leaders: int, least: int) -> DataFrame:
-    """Candidate pairs of nodes that stay large: every text against the few that are closest to what most of the node has.
+def _attached(crowd: DataFrame, held: DataFrame, similarity: float, leaders: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(linked pairs (a, b, s), their components) of texts in large nodes with the text, among those closest to what most of a node has, that is closest to them.
 
     Copies of one text differ from it in different places, so the majority bit of every
     coordinate is that of the text they come from.
     """
-    rows = stage(rows)
     bits = [F.sum(F.shiftrightunsigned(F.col(f"d.w{w}"), i).bitwiseAND(F.lit(1))).alias(f"b{w}_{i}") for w in range(4) for i in range(64)]
-    ones = rows.groupBy("node").agg(F.count("*").alias("n"), *bits)
+    ones = crowd.groupBy("node").agg(F.count("*").alias("n"), *bits)
     most = ones.select("node", F.struct(*[F.expr(" | ".join(f"shiftleft(cast(b{w}_{i} * 2 >= n as bigint), {i})" for i in range(64))).alias(f"w{w}") for w in range(4)]).alias("m"))
-    near = rows.join(most, "node").select("node", "d", _agree(F.col("d"), F.col("m")).alias("s"))
+    near = crowd.join(most, "node").select("node", "d", _agree(F.col("d"), F.col("m")).alias("s"))
     # the best of every part first: no group is sorted whole
     for part in (F.pmod(F.xxhash64("d.rep"), F.lit(256)), F.lit(0)):
         near = near.withColumn("_p", part).repartition("node", "_p")
         w = Window.partitionBy("node", "_p").orderBy(F.col("s").desc(), "d.rep")
         near = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= leaders).drop("_r")
-    heads = near.select("node", F.col("d").alias("h"))
-    met = rows.join(heads, "node").filter("d.rep <> h.rep").filter(_agree(F.col("d"), F.col("h")) >= least)
-    return met.select(F.least("d.rep", "h.rep").alias("a"), F.greatest("d.rep", "h.rep").alias("b"), _agree(F.col("d"), F.col("h")).alias("s"))
+    heads = near.groupBy("node").agg(F.collect_list("d").alias("hs"))
+    best = F.array_max(F.transform("hs", lambda h: F.struct(F.when(h["rep"] != F.col("d.rep"), _agree(F.col("d"), h)).otherwise(-1).alias("s"), h["rep"].alias("h"))))
+    met = crowd.join(heads, "node").select(F.col("d.rep").alias("rep"), best.alias("p")).groupBy("rep").agg(F.max("p").alias("p")).filter(F.col("p.s") >= least)
+    pairs = stage(met.select(F.least("rep", "p.h").alias("a"), F.greatest("rep", "p.h").alias("b"), F.col("p.s").cast("long").alias("s")).distinct())
+    sure = stage(verified(pairs, held, similarity))
+    return sure, components(sure)
+
+
+def parities(held: DataFrame) -> DataFrame:
+    """(rep, n, marks): the size of every set, and 2048 bits of which each element turns one over."""
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), U) for x in batch.column(1)]
+            marks = [np.packbits(np.bincount((x & U(2047)).astype(np.int64), minlength=2048) & 1) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([m.astype(np.uint8).tobytes() for m in marks], pa.binary())], names=["rep", "n", "marks"])
+
+    return stage(held.select("doc_id", "held").mapInArrow(local, "rep long, n long, marks binary"))
+
+
+def _blocks(rows: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, s) of nodes in which everything that is not of the largest component meets all the rest.
+
+    Two sets differ in at least as many elements as bits of their marks; at the threshold t in at most (1 - t) / (1 + t) of
+    their sizes' sum. So no link is turned down.
+    """
+    percent = round(similarity * 100)
+
+    def local(part: pa.Table) -> pa.Table:
+        part = part.sort_by("rep")
+        rep, comp, n = (part[k].to_numpy() for k in ("rep", "comp", "n"))
+        bits = np.frombuffer(b"".join(part["marks"].to_pylist()), U).reshape(len(rep), -1)
+        names, counts = np.unique(comp, return_counts=True)
+        few = np.flatnonzero(comp != names[np.argmax(counts)])
+        out = [[np.zeros(0, np.int64)] * 3]
+        for i in range(0, len(few), max(1, (1 << 22) // bits.size + 1)):
+            x = few[i:i + max(1, (1 << 22) // bits.size + 1)]
+            apart = np.bitwise_count(bits[x][:, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+            total = n[x][:, None] + n
+            u, v = np.nonzero((apart * (100 + percent) <= total * (100 - percent)) & (comp[x][:, None] != comp))
+            alike = np.maximum(total[u, v] - apart[u, v], 0) / (total[u, v] + apart[u, v])
+            out.append([np.minimum(rep[x[u]], rep[v]), np.maximum(rep[x[u]], rep[v]), (COORDINATES * (alike + (1 - alike) / 2 ** BITS)).astype(np.int64)])
+        return pa.table(dict(zip("abs", (np.concatenate(c) for c in zip(*out)))))
+
+    return stage(rows.join(marks, "rep").groupBy("node").applyInArrow(local, "a long, b long, s long").distinct())
 
 
-def whole_sets(docs: DataFrame, pairs: DataFrame, doc: str, text: str, words: int) -> DataFrame:
-    """(doc_id, held): the hashes of the whole set of every text that occurs in a pair, and of a few others.
+def whole_sets(docs: DataFrame, ids: DataFrame, doc: str, text: str, words: int) -> DataFrame:
+    """(doc_id, held): the hashes of the whole set of every text named in ``ids``, and of a few others.
 
     A bitmap of the ids decides within the scan which texts are read, so no text is shuffled.
     """
-    bitmap, number = spots(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id")
+    bitmap, number = spots(ids, "doc_id")
     # at most 128 MB
     bits = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -217,7 +275,7 @@ def linked(pairs: DataFrame, held: DataFrame, similarity: float, verified: Calla
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,
-                    trees: int = 12, depth: int = 5, second: float = 0.25, small: int = 48, leaders: int = 3) -> DataFrame:
+                    trees: int = 12, lead: int = 4, second: float = 0.25, small: int = 48, leaders: int = 3, at_once: int = 1 << 16) -> DataFrame:
     """One row per document with an id: doc_id, n_shingles, component_id, kept.
 
     Documents are linked where the Jaccard likeness of their sets of ``words``-word
@@ -226,8 +284,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     Texts without words, null ones too, are linked with nothing.
 
     Documents with the same set become one class first, so exact copies are never paired.
-    Classes go through ``trees`` trees of up to ``depth`` levels; nodes of up to ``small`` classes are compared
-    pair by pair, nodes that are still larger at the last level (copies by the thousand) through ``leaders`` common neighbours.
+    Classes go through ``trees`` trees; nodes of up to ``small`` classes are compared pair by pair, larger ones are branched. At level ``lead``
+    what is in large nodes is linked, as far as it reaches the likeness, with the closest of ``leaders`` texts that have what most of a node has. After that,
+    nodes are branched until the classes outside their largest component, times all, are ``at_once`` or fewer, and then compared whole.
     Sketches of 256 bits sort out most pairs, with a margin of four standard deviations; what is left is confirmed on the whole sets, as 64-bit hashes.
 
     A repeated doc_id counts once, with the smallest of its sets; rows with a null id are
@@ -247,9 +306,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wo
     trees_of = stage(one.select("rep", "w0", "w1", "w2", "w3", "tokens"))
     discard(table)
     release(spark)
-    pairs = stage(candidates(trees_of, trees, depth, second, small, leaders, least))
+    pairs = stage(candidates(trees_of, lambda ids: whole_sets(docs, ids, doc, text, words), similarity, trees, lead, second, small, leaders, least, at_once))
     release(spark)
-    held = whole_sets(docs, pairs, doc, text, words)
+    held = whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), doc, text, words)
     release(spark)
     known = linked(pairs, held, similarity)
     out = heads.join(known, heads["rep"] == known["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

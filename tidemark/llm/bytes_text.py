@@ -72,11 +72,11 @@ def _prefix(b: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_bounds(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte bounds of all words, and the number of words before each text."""
+def word_bounds(b: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): byte bounds of all words, and the number of words before each text; ``between`` marks the bytes that part them."""
     if not len(b):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[b]
+    inside = ~between[b]
     edge = np.zeros(len(b) + 1, bool)
     edge[offsets] = True
     start = inside.copy()
@@ -90,9 +90,14 @@ def word_bounds(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def word_hashes(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash per word, number of words before each text), A-Z lower-cased."""
     starts, ends, first = word_bounds(b, offsets)
+    return hashes(b, starts, ends), first
+
+
+def hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every run of bytes, A-Z lower-cased."""
     total = _prefix(LOWER[b])
     _, down = _powers_to(len(b) + 1)
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U)), first
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
 
 def _spread(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -24,15 +24,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def spots(ids: DataFrame, column: str, most: int = 1 << 30) -> tuple[np.ndarray, int]:
-    """(bytes of a bitmap, number of bits): the spot ``xxhash64(id) mod number`` of every id is set.
+def spots(ids: DataFrame, column: str, most: int = 1 << 30, hashed: bool = False) -> tuple[np.ndarray, int]:
+    """(bytes of a bitmap, number of bits): the spot ``xxhash64(id) mod number`` of every id is set; of ids that are ``hashed`` already their own.
 
     Tells inside a scan which rows an id list may hold, before anything is shuffled. Sixteen bits an id, never more than
     ``most``, so its size is bounded; a list too long for that lets more rows through that are not in it, and none is lost.
     """
     number = 1 << max(16, (16 * ids.count()).bit_length())
     number = min(number, most)
-    spot = F.pmod(F.xxhash64(column), F.lit(number)) + 1
+    spot = F.pmod(F.col(column) if hashed else F.xxhash64(column), F.lit(number)) + 1
     maps = ids.select(spot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
     bits = np.zeros(number // 8, np.uint8)
     for r in maps:

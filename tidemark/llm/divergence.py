@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import string
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,29 +10,84 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .bytes_text import LOWER, U, column, hashes, mix, slices, word_bounds
+from .common import spots, stage
 
-#: Characters between terms: all of ASCII but its letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes between terms: all of ASCII but its letters.
+BETWEEN = np.ones(256, bool)
+BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 UNIT = 1_000_000_000
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, token, n) of (text, lang, source): occurrences of every term, and under ``1`` + term its documents.
+def _name(text: str) -> np.uint64:
+    return U(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little"))
 
-    A term holds no digit, so one aggregate over one tokenisation gives both counts, combined before the shuffle.
+
+def _names(values: pa.Array) -> np.ndarray:
+    """A hash of every value of a string column."""
+    coded = values.dictionary_encode()
+    return np.array([_name(v) for v in coded.dictionary.to_pylist()], U)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _runs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first place, places, documents) of every different key; documents ascend."""
+    order = np.argsort(key, kind="stable")
+    k, d = key[order], doc[order]
+    new = np.concatenate([np.ones(1, bool), k[1:] != k[:-1]])
+    other = new.copy()
+    other[1:] |= d[1:] != d[:-1]
+    at = np.flatnonzero(new)
+    return k[at], order[at], np.diff(np.append(at, len(k))), np.add.reduceat(other.astype(np.int64), at)
+
+
+def _terms(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, bytes, starts, ends, row, key) of all terms in slices of whole texts; the key is a hash of language and term."""
+    buf, offsets = column(batch.column(2))
+    tongue = _names(batch.column(0))
+    for i, j, b, o in slices(buf, offsets, most):
+        starts, ends, first = word_bounds(b, o, BETWEEN)
+        if len(starts):
+            row = np.repeat(np.arange(j - i), np.diff(first))
+            yield i, b, starts, ends, row, mix(hashes(b, starts, ends) + tongue[i:j][row])
+
+
+def term_rows(docs: DataFrame, least: int, most: int = 1 << 21) -> DataFrame:
+    """(lang, term, items) of (lang, source, text): the non-zero counts of every term that ``least`` documents hold, in the order of the sources.
+
+    Most terms are rare. A first pass counts documents under a hash of language and term; a second one, through a bitmap of at most 128 MB over the frequent hashes,
+    counts only terms that may be kept, and decides on the terms themselves. Both count in slices of ``most`` bytes, combined before the shuffle.
     """
-    low = F.when(F.octet_length("text") == F.length("text"), F.lower("text")).otherwise(F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
-    words = docs.select("lang", "source", F.array_remove(F.split(low, BETWEEN), "").alias("w"))
-    tokens = F.concat("w", F.transform(F.array_distinct("w"), lambda w: F.concat(F.lit("1"), w)))
-    return words.select("lang", "source", F.explode(tokens).alias("token")).groupBy("lang", "source", "token").agg(F.count("*").alias("n"))
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, _, row, key in _terms(batch, most):
+                k, _, _, held = _runs(key, row)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(held)], names=["k", "docs"])
 
+    hashed = docs.select("lang", "source", "text").mapInArrow(frequent, "k long, docs long").groupBy("k").agg(F.sum("docs").alias("docs"))
+    keys = stage(hashed.filter(F.col("docs") >= least).select("k"))
+    bitmap, number = spots(keys, "k", hashed=True)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-def term_rows(counts: DataFrame, least: int) -> DataFrame:
-    """(lang, term, items): the non-zero counts of every term that ``least`` documents hold, in the order of the sources."""
-    marked = F.startswith("token", F.lit("1"))
-    term = F.when(marked, F.substring("token", 2, 1 << 30)).otherwise(F.col("token"))
-    rows = counts.groupBy("lang", term.alias("term")).agg(F.sum(F.when(marked, F.col("n"))).alias("docs"), F.array_sort(F.collect_list(F.when(~marked, F.struct("source", "n")))).alias("items"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = _names(batch.column(1))
+            for i, b, starts, ends, row, key in _terms(batch, most):
+                spot = (key & U(number - 1)).astype(np.int64)
+                some = np.flatnonzero(bits.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+                if not len(some):
+                    continue
+                row, starts, ends = row[some], starts[some], ends[some]
+                _, at, n, held = _runs(mix(key[some] + place[i:][row]), row)
+                a, long = starts[at], (ends - starts)[at]
+                edge = np.concatenate([np.zeros(1, np.int64), np.cumsum(long)])
+                letters = LOWER[b[np.arange(edge[-1]) + np.repeat(a - edge[:-1], long)]]
+                term = pa.StringArray.from_buffers(len(at), pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(letters))
+                rows = pa.array(i + row[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), term, pa.array(n), pa.array(held)], names=["lang", "source", "term", "n", "docs"])
+
+    counts = docs.select("lang", "source", "text").mapInArrow(counted, "lang string, source string, term string, n long, docs long")
+    counts = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("items"))
     return rows.filter(F.col("docs") >= least).select("lang", "term", "items")
 
 
@@ -53,7 +108,7 @@ def _gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // (p + q)
 
 
-def insert(lang: np.ndarray, first: np.ndarray, source: np.ndarray, count: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def insert(lang: np.ndarray, first: np.ndarray, source: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The tree of sorted rows as (cell, row, depth, multiplicity) of its nodes, each named by the first cell that reaches it.
 
     Row r holds cells first[r] to first[r + 1]. It shares with the row before as many nodes as their cells agree from the left;
@@ -70,18 +125,17 @@ def insert(lang: np.ndarray, first: np.ndarray, source: np.ndarray, count: np.nd
     shared = np.minimum.reduceat(np.where(same, len(source), depth), first[:-1])
     shared = np.minimum(shared, long)
     new = np.flatnonzero(depth >= shared[rows])
-    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(copies)])
     passing = np.zeros(len(new), np.int64)
     for d in range(int(long.max(initial=0))):
         here = np.flatnonzero(depth[new] == d)
         leave = np.append(np.flatnonzero(shared <= d), len(long))
         r = rows[new[here]]
-        passing[here] = total[leave[np.searchsorted(leave, r, "right")]] - total[r]
+        passing[here] = leave[np.searchsorted(leave, r, "right")] - r
     return new, rows[new], depth[new], passing
 
 
 def corrections(rows: DataFrame) -> DataFrame:
-    """(lang, a, b, value) of sorted (lang, items, copies): what sources that share terms add to their divergence.
+    """(lang, a, b, value) of sorted (lang, items): what sources that share terms add to their divergence.
 
     ``items`` are (source, n, p, z) with p the share of n and z that of 0. Every Arrow batch of rows becomes a tree of its own; every node meets each of its
     ancestors once, whatever the number of terms that pass through both, and the sums of all trees add up.
@@ -97,7 +151,7 @@ def corrections(rows: DataFrame) -> DataFrame:
             code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             tongue = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             n, p, z = (cells.field(k).to_numpy(zero_copy_only=False) for k in ("n", "p", "z"))
-            node, row, depth, copies = insert(tongue, first, code, n, batch.column(2).to_numpy(zero_copy_only=False))
+            node, row, depth, copies = insert(tongue, first, code, n)
             kinds = len(names.dictionary)
             ends = np.cumsum(depth)
             i = 0
@@ -119,7 +173,7 @@ def corrections(rows: DataFrame) -> DataFrame:
                 take = lambda column, at: column.dictionary.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([take(lang, one // kinds // kinds), take(names, one // kinds % kinds), take(names, one % kinds), pa.array(np.add.reduceat(value[order], edge))], names=["lang", "a", "b", "value"])
 
-    return rows.select("lang", "items", "copies").mapInArrow(local, "lang string, a string, b string, value long")
+    return rows.select("lang", "items").mapInArrow(local, "lang string, a string, b string, value long")
 
 
 def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 10, top: int = 10) -> DataFrame:
@@ -134,10 +188,10 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     source and count; where both have the term, the nodes of the tree do (`corrections`). So no pair of sources meets term by term.
 
     Null texts, languages and sources count as ''. Empty texts have no terms; groups without terms are compared like others, with 0 where the language keeps
-    no term. Rows that repeat count as often as they stand. Ranks are ordered by value downwards, then by item. Very long texts are one array of words at a time. Other columns are left out; an empty table gives no rows.
+    no term. Rows that repeat count as often as they stand. Ranks are ordered by value downwards, then by item. A very long text is one slice of its own. Terms of a slice are told apart by 64 bits of a hash. Other columns are left out; an empty table gives no rows.
     """
     held = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
-    kept = stage(term_rows(term_counts(held), least))
+    kept = stage(term_rows(held, least))
     cells = kept.select("lang", "term", F.aggregate("items", F.lit(0).cast("long"), lambda s, i: s + i["n"]).alias("all"), F.explode("items").alias("i")).select("lang", "term", "all", "i.source", "i.n")
     tongues = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum(F.aggregate("items", F.lit(0).cast("long"), lambda s, i: s + i["n"])).alias("whole"))
     groups = held.select("lang", "source").distinct().join(cells.groupBy("lang", "source").agg(F.sum("n").alias("own")), ["lang", "source"], "left").join(tongues, "lang", "left")
@@ -146,7 +200,8 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     cells = stage(cells.select("lang", "source", "term", "n", share(F.col("n"), F.col("own"), F.col("v")).alias("p"), share(F.lit(0), F.col("own"), F.col("v")).alias("z"), share(F.col("all"), F.col("whole"), F.col("v")).alias("q")))
 
     paths = cells.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "n", "p", "z"))).alias("items"))
-    paths = paths.repartitionByRange("lang", "items").groupBy("lang", "items").agg(F.count("*").alias("copies")).sortWithinPartitions("lang", "items")
+    # rows that begin alike lie together
+    paths = paths.repartitionByRange("lang", F.slice("items", 1, 2)).sortWithinPartitions("lang", "items")
     ends = groups.select("lang", F.col("source").alias("other"), share(F.lit(0), F.col("own"), F.col("v")).alias("y"))
     none = groups.select("lang", "source", "v", share(F.lit(0), F.col("own"), F.col("v")).alias("z")).join(ends, "lang").filter("source < other")
     none = none.select("lang", F.col("source").alias("a"), F.col("other").alias("b"), F.coalesce(F.col("v") * gap(F.col("z"), F.col("y")), F.lit(0)).alias("value"))

@@ -1,13 +1,13 @@
 """Coefficient recovery and chains."""
 
-import math
-
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import diagnose as dg
 from tidemark.operators import models as md
+from tidemark.operators.least_squares import student_p
 
 
 @pytest.fixture(scope="module")
@@ -67,9 +67,19 @@ def test_rolling_stages_recover_coefficients(spark):
 
 
 @pytest.mark.parametrize("t, dof, want", [(2.0, 1, 0.295167), (2.0, 2, 0.183503), (2.5, 5, 0.054490), (1.0, 6, 0.355918), (3.0, 30, 0.005390), (0.0, 4, 1.0)])
-def test_p_values(t, dof, want):
-    assert md.two_sided_p(t, dof) == pytest.approx(want, abs=1e-5)
-    assert math.isnan(md.two_sided_p(t, 0))
+def test_p_values(spark, t, dof, want):
+    row = spark.createDataFrame([(t, dof)], "t double, dof int").select(student_p(F.col("t"), F.col("dof")).alias("p"), student_p(F.col("t"), F.lit(0)).alias("none")).first()
+    assert row.p == pytest.approx(want, abs=1e-5) and row.none is None
+
+
+def test_rolling_stages_leave_out_dependent_features(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, 12)
+    pdf = pd.DataFrame({"series_id": "a", "quarter": pd.date_range("2010-01-01", periods=12, freq="QS").date, "u": x, "v": 2 * x, "w": np.where(np.arange(12) == 4, np.nan, x ** 2), "gdp": 1 + x})
+    panel = spark.createDataFrame(pdf)
+    assert md.rolling_stages(panel, {"twice": ["u", "v"]}).count() == 0
+    rows = md.rolling_stages(panel, {"gap": ["u", "w"]}).collect()
+    assert [r.n_train for r in rows] == [8, 8, 8] and all(r.coefficients == pytest.approx({"const": 1, "u": 1, "w": 0}, abs=1e-9) for r in rows)
 
 
 def test_verdict_limits(spark):

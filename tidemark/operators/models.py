@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from ..session import stage
 from ..sources.csv import keep_first, parse_csv_lines, rename_columns
 from . import calendar as cal
 from . import windows as wn
+from .least_squares import finite_values, student_p, sweep
 from .series import along, calendar_labels
 from .stl import by_series, whole_series
 
@@ -169,65 +171,48 @@ def quarter_panel(monthly: DataFrame, gdp: DataFrame, key: str = "series_id", or
         key, "quarter", "prev_gdp", *[f"month{m}_{n}" for n in ("yoy", "cap_rate") for m in (1, 2, 3)], "gdp")
 
 
-def two_sided_p(t: float, dof: int) -> float:
-    """P(|T| > |t|) of Student's t with whole degrees of freedom, by the finite trigonometric series."""
-    if dof < 1 or not math.isfinite(t):
-        return math.nan if dof < 1 else 0.0
-    angle = math.atan(abs(t) / math.sqrt(dof))
-    cos, sin = math.cos(angle), math.sin(angle)
-    odd = dof % 2
-    term, total = (cos, cos) if odd else (1.0, 1.0)
-    if dof == 1:
-        total = 0.0
-    for j in range(2 if odd else 1, dof - 1, 2):
-        term *= cos * cos * j / (j + 1)
-        total += term
-    inside = 2 / math.pi * (angle + sin * total) if odd else sin * total
-    return max(0.0, 1 - inside)
-
-
 def rolling_stages(panel: DataFrame, stages: Mapping[str, Sequence[str]] = STAGES, window: int = 9, key: str = "series_id", order: str = "quarter", target: str = "gdp") -> DataFrame:
     """Least squares on the ``window`` quarters before each quarter, per stage.
 
     (key, quarter, stage, prediction, actual, r_squared, rmse, n_train, train_start, train_end,
-    coefficients, t_values, p_values). Quarters with too few complete rows are left out.
-    """
-    kinds = dict(panel.dtypes)
-    features = sorted({f for fs in stages.values() for f in fs})
-    schema = (f"{key} {kinds[key]}, quarter date, stage string, prediction double, actual double, r_squared double, rmse double, n_train int, train_start date, train_end date, "
-              "coefficients map<string,double>, t_values map<string,double>, p_values map<string,double>")
-    names = [f.split(" ")[0] for f in schema.split(", ")]
+    coefficients, t_values, p_values). Quarters with too few complete rows, or features that depend on one another, are left out.
 
-    def one(k, pdf: pd.DataFrame) -> Iterator[list]:
-        y = pdf[target].to_numpy(float)
-        when = pdf[order].to_list()
-        for stage, fs in stages.items():
-            x = pdf[list(fs)].to_numpy(float)
-            whole = np.isfinite(x).all(1)
-            labels = ["const", *fs]
-            for i in range(window, len(pdf)):
-                use = np.arange(i - window, i)
-                use = use[whole[use] & np.isfinite(y[use])]
-                if len(use) < len(fs) + 1 or not whole[i]:
-                    continue
-                a = np.hstack([np.ones((len(use), 1)), x[use]])
-                beta, _, rank, _ = np.linalg.lstsq(a, y[use], rcond=None)
-                rest = ((y[use] - a @ beta) ** 2).sum()
-                total = ((y[use] - y[use].mean()) ** 2).sum()
-                dof = len(use) - rank
-                spread = rest / dof if dof > 0 else math.nan
-                se = np.sqrt(np.maximum(spread * np.diag(np.linalg.pinv(a.T @ a)), 0)) if dof > 0 else np.full(len(beta), math.nan)
-                t = [float(b / s) if s > 0 else None for b, s in zip(beta, se)]
-                p = [two_sided_p(v, int(dof)) if v is not None else None for v in t]
-                yield [k, when[i], stage, float(beta[0] + x[i] @ beta[1:]), y[i] if np.isfinite(y[i]) else None, 1 - rest / total if total > 0 else None,
-                       math.sqrt(spread) if dof > 0 else None, len(use), when[i - window], when[i - 1],
-                       dict(zip(labels, map(float, beta))), dict(zip(labels, t)), dict(zip(labels, p))]
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_series(batches, key):
-            yield pd.DataFrame([r for k, g in pdf.groupby(key, sort=False) for r in one(k, g)], columns=names)
-
-    return by_series(panel.select(key, order, *features, target), key, order).mapInPandas(fit, schema)
+    All moments of a stage are sums over one row frame, and the system is solved by sweeping them in an array: one shuffle by series, no Python.
+    """
+    frame = along(key, order).rowsBetween(-window, -1)
+    out = []
+    for stage, features in stages.items():
+        p = len(features)
+        names = [*features, target]
+        full = finite_values(names)
+        x = [F.when(full, F.col(n).cast("double")) for n in names]
+        sums = {f"_s{i}": F.sum(x[i]).over(frame) for i in range(p + 1)} | {f"_c{i}_{j}": F.sum(x[i] * x[j]).over(frame) for i in range(p + 1) for j in range(i, p + 1)}
+        rows = panel.select(
+            key, F.col(order).alias("quarter"), *names, finite_values(features).alias("_whole"), F.count(F.when(full, 1)).over(frame).cast("int").alias("n_train"), F.count(F.lit(1)).over(frame).alias("_rows"),
+            F.min(order).over(frame).alias("train_start"), F.max(order).over(frame).alias("train_end"), *[c.alias(n) for n, c in sums.items()])
+        rows = rows.filter(F.col("_whole") & (F.col("_rows") == window) & (F.col("n_train") >= p + 1))
+        w = p + 1
+        at = lambda i, j: f"_c{min(i, j)}_{max(i, j)}"
+        moments = F.array(*[F.col(at(i, j)) - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("n_train") for i in range(w) for j in range(w)])
+        rows = rows.select(key, "quarter", *names, "n_train", "train_start", "train_end", moments.alias("_moments"), *[(F.col(f"_s{i}") / F.col("n_train")).alias(f"_m{i}") for i in range(w)])
+        rows = rows.withColumn("_swept", sweep(F.col("_moments"), p)).filter(F.get("_swept", F.lit(w * w - 1)).isNotNull())
+        beta = [F.get("_swept", F.lit(i * w + p)) for i in range(p)]
+        dof, rest = F.col("n_train") - p - 1, F.greatest(F.get("_swept", F.lit(w * w - 1)), F.lit(0.0))
+        spread = F.when(dof > 0, rest / dof)
+        inverse = lambda i, j: -F.get("_swept", F.lit(i * w + j))
+        level = F.col(f"_m{p}") - sum((b * F.col(f"_m{i}") for i, b in enumerate(beta)), F.lit(0.0))
+        around = sum((F.col(f"_m{i}") * F.col(f"_m{j}") * inverse(i, j) for i in range(p) for j in range(p)), F.lit(0.0))
+        errors = [F.sqrt(spread * (1 / F.col("n_train") + around)), *[F.sqrt(spread * inverse(i, i)) for i in range(p)]]
+        labels = ["const", *features]
+        rows = rows.withColumns({"_b0": level} | {f"_b{i + 1}": b for i, b in enumerate(beta)} | {f"_e{i}": e for i, e in enumerate(errors)} | {"_dof": dof, "_rest": rest, "_spread": spread, "_total": F.get("_moments", F.lit(w * w - 1))})
+        count, listed = range(p + 1), F.array(*[F.lit(n) for n in labels])
+        rows = rows.withColumn("_t", F.array(*[F.when(F.col(f"_e{i}") > 0, F.col(f"_b{i}") / F.col(f"_e{i}")) for i in count]))
+        out.append(rows.select(
+            key, "quarter", F.lit(stage).alias("stage"), (F.col("_b0") + sum((F.col(f"_b{i + 1}") * F.col(f) for i, f in enumerate(features)), F.lit(0.0))).alias("prediction"),
+            F.when(finite_values([target]), F.col(target)).alias("actual"), F.when(F.col("_total") > 0, 1 - F.col("_rest") / F.col("_total")).alias("r_squared"), F.sqrt("_spread").alias("rmse"), "n_train", "train_start", "train_end",
+            F.map_from_arrays(listed, F.array(*[F.col(f"_b{i}") for i in count])).alias("coefficients"), F.map_from_arrays(listed, "_t").alias("t_values"),
+            F.map_from_arrays(listed, F.transform("_t", lambda t: student_p(t, F.col("_dof")))).alias("p_values")))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def coefficient_history(fits: DataFrame, key: str = "series_id") -> DataFrame:

@@ -103,7 +103,36 @@ def mdl5(t):
     return rounded(panel(t), 5)
 
 
-@query("mdl6_rolling_stages")
+def _stage_sql(stage, features, window=9):
+    """One stage as common table expressions: moments of the frame, centred, then one elimination step per feature."""
+    p, names = len(features), [*features, "gdp"]
+    full = " AND ".join(f"{n} IS NOT NULL" for n in names)
+    w = f"(PARTITION BY series_id ORDER BY quarter ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING)"
+    cells = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    sums = ", ".join([f"sum({n}) FILTER ({full}) OVER w AS s{i}" for i, n in enumerate(names)] + [f"sum({names[i]} * {names[j]}) FILTER ({full}) OVER w AS r{i}_{j}" for i, j in cells])
+    keep = f"series_id, quarter, {', '.join(names)}, n, lo, hi, total, {', '.join(f'm{i}, o{i}' for i in range(p + 1))}"
+    out = [f"{stage}_w AS (SELECT series_id, quarter, {', '.join(names)}, count(*) FILTER ({full}) OVER w AS n, count(*) OVER w AS k, min(quarter) OVER w AS lo, max(quarter) OVER w AS hi, {sums} FROM panel WINDOW w AS {w})",
+           f"{stage}_0 AS (SELECT *, c{p}_{p} AS total, {', '.join(f's{i} / n AS m{i}, c{i}_{i} AS o{i}' for i in range(p + 1))} FROM (SELECT *, {', '.join(f'r{i}_{j} - s{i} * s{j} / n AS c{i}_{j}' for i, j in cells)} FROM {stage}_w WHERE k = {window} AND n >= {p + 1} AND {' AND '.join(f'{f} IS NOT NULL' for f in features)}))"]
+    at = lambda i, j: f"c{min(i, j)}_{max(i, j)}"
+    for k in range(p):
+        new = [f"{'-1.0 / ' + at(k, k) if i == j == k else at(i, j) + ' / ' + at(k, k) if k in (i, j) else at(i, j) + ' - ' + at(i, k) + ' * ' + at(k, j) + ' / ' + at(k, k)} AS {at(i, j)}" for i, j in cells]
+        out.append(f"{stage}_{k + 1} AS (SELECT {keep}, {', '.join(new)} FROM {stage}_{k} WHERE {at(k, k)} > 1e-9 * o{k})")
+    level = f"m{p} - " + " - ".join(f"c{i}_{p} * m{i}" for i in range(p))
+    around = " + ".join(f"m{i} * m{j} * -{at(i, j)}" for i in range(p) for j in range(p))
+    final = (f"SELECT '{stage}' AS stage, series_id, quarter, gdp AS actual, n, lo, hi, n - {p + 1} AS dof, 1 - greatest(c{p}_{p}, 0) / total AS r2, CASE WHEN n > {p + 1} THEN greatest(c{p}_{p}, 0) / (n - {p + 1}) END AS spread, "
+             f"{level} + {' + '.join(f'c{i}_{p} * {f}' for i, f in enumerate(features))} AS prediction, ['const', {', '.join(repr(f) for f in features)}] AS names, [{level}, {', '.join(f'c{i}_{p}' for i in range(p))}] AS b, "
+             f"[1.0 / n + {around}, {', '.join(f'-{at(i, i)}' for i in range(p))}] AS v FROM {stage}_{p}")
+    return out, final
+
+
+def _fits_sql():
+    parts = [_stage_sql(s, f) for s, f in md.STAGES.items()]
+    return ", ".join([PANEL, *[x for out, _ in parts for x in out], "fits AS (" + " UNION ALL ".join(final for _, final in parts) + ")"])
+
+
+@query("mdl6_rolling_stages", f"""
+WITH {_fits_sql()} SELECT series_id, CAST(quarter AS VARCHAR) AS quarter, stage, {r('prediction', 5)} AS prediction, {r('actual', 5)} AS actual, {r('r2', 5)} AS r_squared, {r('sqrt(spread)', 5)} AS rmse,
+  CAST(n AS INTEGER) AS n_train, CAST(lo AS VARCHAR) AS train_start, CAST(hi AS VARCHAR) AS train_end FROM fits""")
 def mdl6(t):
     fits = md.rolling_stages(panel(t))
     return rounded(fits.select("series_id", "quarter", "stage", "prediction", "actual", "r_squared", "rmse", "n_train", "train_start", "train_end"), 5)
@@ -130,7 +159,15 @@ def mdl6_line(t):
     return rounded(one_feature_predictions(t), 5)
 
 
-@query("mdl7_coefficient_history")
+# two-sided tail of Student's t for the degrees of freedom that nine quarters leave
+_TAIL = """CASE dof WHEN 1 THEN 1 - 2 * a / pi() WHEN 2 THEN 1 - sin(a) WHEN 3 THEN 1 - 2 / pi() * (a + sin(a) * cos(a)) WHEN 4 THEN 1 - sin(a) * (1 + cos(a) * cos(a) / 2)
+  WHEN 5 THEN 1 - 2 / pi() * (a + sin(a) * (cos(a) + 2 * cos(a) * cos(a) * cos(a) / 3)) END"""
+
+
+@query("mdl7_coefficient_history", f"""
+WITH {_fits_sql()}, long AS (SELECT series_id, quarter, stage, dof, spread, unnest(names) AS name, unnest(b) AS b, unnest(v) AS v FROM fits),
+t AS (SELECT *, CASE WHEN spread * v > 0 THEN b / sqrt(spread * v) END AS t FROM long), a AS (SELECT *, CASE WHEN dof > 0 THEN atan(abs(t) / sqrt(dof)) END AS a FROM t)
+SELECT series_id, CAST(quarter AS VARCHAR) AS quarter, stage, name, {r('b', 5)} AS coefficient, {r('t', 5)} AS t_value, CASE WHEN t IS NOT NULL THEN {r(f'greatest(0, {_TAIL})', 5)} END AS p_value FROM a""")
 def mdl7(t):
     return rounded(md.coefficient_history(md.rolling_stages(panel(t))), 5)
 

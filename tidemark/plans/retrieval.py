@@ -21,10 +21,10 @@ s AS (SELECT item_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) *
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0)"""
 
 
-def hits(t):
-    """The best documents for every benchmark item."""
+def hits(t, asked=None):
+    """The best documents for every benchmark item, or for those in ``asked``."""
     docs = t.documents.select("doc_id", F.concat_ws(" ", "text", "source").alias("text"))
-    return rt.bm25(docs, "doc_id", F.col("text"), t.benchmark.withColumnRenamed("text", "ask"), "item_id", F.col("ask"))
+    return rt.bm25(docs, "doc_id", F.col("text"), (t.benchmark if asked is None else asked).withColumnRenamed("text", "ask"), "item_id", F.col("ask"))
 
 
 @query("ret1_bm25", f"""

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..operators import joins as jn
 from ..operators import series as ser
 from ..session import shared_dir
-from ..sources import csv, documents, logs, profile
+from ..sources import csv, documents, logs, profile, tables
 from .registry import query, rounded
 from .standins import DAILY_TOTAL, HOURLY, MONTHLY, QUARTERLY, daily_total, hourly, money, monthly, quarterly, r
 
@@ -61,6 +61,35 @@ def src4(t):
             .agg(F.count("*").alias("n"), money("value").alias("value")))
 
 
+def _unlike(t):
+    """Three tables nobody has described: written dates with gaps and figures as text, compact months with two candidates for the value, and one without periods."""
+    o, key = t.orders, F.col("o_orderkey")
+    orders = o.select(
+        "o_orderstatus", F.when(key % 97 == 0, "n/a").when(key % 101 == 0, F.lit(None)).otherwise(F.date_format("o_orderdate", "yyyy/M/d")).alias("booked"),
+        F.when(key % 89 == 0, "broken").when(key % 83 == 0, " ").otherwise(F.col("o_totalprice").cast("string")).alias("consumption_kwh"))
+    lines = t.lineitem.select(F.date_format("l_shipdate", "yyyyMM").alias("Month"), F.col("l_quantity").alias("load"), (F.col("l_quantity") * 3).alias("load_ytd"), F.col("l_returnflag").alias("note"))
+    return {"orders": orders, "lines": lines, "segments": t.customer.select("c_mktsegment", F.col("c_acctbal").alias("balance_yuan"))}
+
+
+_UNLIKE = """o AS (SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice AS v, CASE WHEN o_orderkey % 97 = 0 THEN 'period unreadable' WHEN o_orderkey % 101 = 0 THEN 'period missing'
+  WHEN o_orderkey % 89 = 0 THEN 'value unreadable' WHEN o_orderkey % 83 = 0 THEN 'value missing' END AS reason FROM orders)"""
+
+
+@query("src4_auto_series", f"""
+WITH {_UNLIKE} SELECT CAST(date_trunc('month', d) AS VARCHAR)[1:10] AS month, 'consumption_kwh' AS metric, 'kwh' AS unit, 'orders' AS source, count(*) AS n, count(DISTINCT CAST(d AS DATE)) AS n_periods, CAST(sum(CAST(round(v * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS value FROM o WHERE reason IS NULL GROUP BY ALL
+UNION ALL SELECT CAST(date_trunc('month', l_shipdate) AS VARCHAR)[1:10], 'load', NULL, 'lines', count(*), 1, CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / 100.0 FROM lineitem GROUP BY ALL""")
+def src4_auto(t):
+    series, _ = tables.auto_series(_unlike(t), {"orders": "kwh"})
+    return series.groupBy(F.to_date(F.date_trunc("month", "period")).alias("month"), "metric", "unit", "source").agg(F.count("*").alias("n"), F.count_distinct("period").alias("n_periods"), money("value").alias("value"))
+
+
+@query("src4_rejects", f"""
+WITH {_UNLIKE} SELECT 'orders' AS source, reason, count(*) AS n, CASE reason WHEN 'period unreadable' THEN 'n/a' WHEN 'value unreadable' THEN 'broken' WHEN 'value missing' THEN '' END AS example FROM o WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL SELECT 'segments', 'no period column', count(*), NULL FROM customer HAVING count(*) > 0""")
+def src4_rejects(t):
+    return tables.auto_series(_unlike(t))[1]
+
+
 @query("src5_period_columns", f"""
 WITH s AS (SELECT count(*) AS n, count(*) FILTER (o_orderstatus <> '') AS ns FROM orders)
 SELECT 'when_written' AS "column", n, n AS parsed, 1.0::DOUBLE AS rate, true AS chosen FROM s
@@ -160,6 +189,19 @@ def src10(t):
     return chunks.select("chunk_id", "doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk"))
 
 
+@query("src10_text_files", rf"""
+SELECT 'shared:d' || doc_id AS doc_id, 'd' || doc_id AS title, 'd' || doc_id || '.txt' AS source, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text FROM documents WHERE text <> ''""")
+def src10_files(t):
+    # written as one file each, beside files of another kind, and found again by walking the folder
+    base = shared_dir(t.spark)
+    uri = base if ":" in base.split("/")[0] else f"file://{base}"
+    for part, name in (("even", F.col("doc_id") % 2 == 0), ("odd/below", F.col("doc_id") % 2 == 1)):
+        documents.write_documents(t.documents.filter(name).select(F.concat(F.lit("d"), "doc_id").alias("title"), "text"), f"{uri}/{part}", "title", "text").write.format("noop").mode("overwrite").save()
+    t.benchmark.limit(1).write.json(f"{base}/other")
+    found = documents.read_documents(t.spark, uri)
+    return found.select("doc_id", "title", "source", F.length("text").alias("n_chars"), F.md5("text").alias("text"))
+
+
 @query("src11_packed_chunks", rf"""
 WITH paras AS (SELECT doc_id, list_filter(list_transform(str_split(text, chr(10)), lambda x: regexp_replace(x, '{_ENDS}', '', 'g')), lambda x: length(x) > 0) AS p FROM documents),
 folded AS (SELECT doc_id, p, list_reduce(list_transform(p, lambda x: {{'used': length(x), 'chunk': 0, 'marks': [0]}}), lambda s, x: {{

@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-def read_documents(spark: SparkSession, path: str, scope: str = "shared") -> DataFrame:
-    """One row per text file, whole: (doc_id, title, text, source)."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("source"))
+
+def read_documents(spark: SparkSession, path: str | list[str], scope: str = "shared", suffixes: tuple[str, ...] = (".md", ".txt")) -> DataFrame:
+    """One row per text file at or below ``path``, whole: (doc_id, title, text, source).
+
+    Files of other suffixes are left alone, and empty ones have no row. The title is the file's name without its suffix, the source its name; bytes that are no UTF-8 become replacement
+    characters. Files are listed and read by the tasks, so a folder may be as large as a table.
+    """
+    wanted = "*{" + ",".join(suffixes) + "}"
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).text(path, wholetext=True)
     title = F.regexp_replace("source", r"\.[^.]*$", "")
+    files = files.select("value", F.col("_metadata.file_name").alias("source"))
     return files.select(F.concat(F.lit(f"{scope}:"), title).alias("doc_id"), title.alias("title"), F.col("value").alias("text"), "source")
 
 
+def write_documents(df: DataFrame, uri: str, title: str, text: str) -> DataFrame:
+    """One text file ``title.txt`` per row below ``uri``, written by the tasks; (partition, n) of files when it is run.
+
+    A null text is an empty file. A task that runs again writes the same files again; rows that share a title share a file, the last one stays.
+    """
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(uri)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_output_stream(f"{base}/{quote(name, safe='')}.txt") as out:
+                    out.write((body or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return df.select(F.col(title).cast("string"), F.col(text).cast("string")).mapInArrow(local, "n long").select(F.spark_partition_id().alias("partition"), "n")
+
+
 def sliding_chunks(df: DataFrame, doc: str, text: str, size: int = 320, overlap: int = 60) -> DataFrame:
     """(doc, chunk_no, chunk_id, chunk): windows of ``size`` characters every ``size - overlap``; the last one reaches the end."""
     step = max(1, size - overlap)

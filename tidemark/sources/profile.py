@@ -51,6 +51,17 @@ def _hits(name: Column, parts: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a + b, [name.contains(p).cast("int") for p in parts])
 
 
+def name_score(name: str) -> float:
+    """How much a column's name speaks for it being the main value, by the weights of `value_columns`."""
+    low = name.strip().lower()
+    hits = lambda parts: sum(p in low for p in parts)
+    return 3.0 * hits(PREFERRED_PARTS) + 1.5 * hits(HINT_PARTS) + 3.0 * hits(MONTH_PARTS) - 3.0 * hits(CUMULATIVE_PARTS)
+
+
+def name_usable(name: str) -> bool:
+    return not any(p in name.strip().lower() for p in EXCLUDED_PARTS)
+
+
 def value_columns(df: DataFrame, period: str) -> DataFrame:
     """(column, n_numeric, score, chosen) for every column that could be the main value."""
     cols = [c for c in df.columns if c != period]

@@ -2,13 +2,12 @@
 
 Texts and vectors are never moved: a task takes them as the scan gives them, and the queries come to the
 task, block by block, from a table in the shared folder. What is shuffled are the k
-best per query of each batch.
+best per query of each task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +43,44 @@ def _blocks(uri: str, rows: int) -> Iterator[pa.RecordBatch]:
             yield batch
 
 
+class _Asked:
+    """The staged queries of a task, block by block, with the k best of each so far.
+
+    Blocks up to ``most`` bytes stay in memory; more of them are read again for every batch of texts. What a task
+    hands on is k rows per query, however many batches it has met.
+    """
+
+    def __init__(self, uri: str, k: int, most: int = 1 << 27):
+        self.uri, self.k, self.best = uri, k, {}
+        self.held: list | None = []
+        size = 0
+        for block in _blocks(uri, BLOCK):
+            size += block.nbytes
+            if size > most:
+                self.held = None
+                break
+            self.held.append(block)
+
+    def __iter__(self) -> Iterator[tuple[int, pa.RecordBatch]]:
+        return enumerate(self.held if self.held is not None else _blocks(self.uri, BLOCK))
+
+    def add(self, number: int, q: np.ndarray, names: np.ndarray, score: np.ndarray) -> None:
+        """Take in candidates of block ``number``; near-equal scores are rounded alike by the caller and go by name."""
+        if number in self.best:
+            q, names, score = (np.concatenate([x, y]) for x, y in zip(self.best[number], (q, names, score)))
+        order = np.lexsort((names, -np.round(score, 9), q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        keep = order[place < self.k]
+        self.best[number] = (q[place < self.k], names[keep], score[keep])
+
+    def rows(self, kind: pa.DataType, columns: list[str]) -> Iterator[pa.RecordBatch]:
+        for number, block in self:
+            if number in self.best:
+                q, names, score = self.best[number]
+                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(q)), pa.array(names, kind), pa.array(score)], names=columns)
+
+
 def _best(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:
     """The k best per query; near-equal scores (1e-9) go by document."""
     w = Window.partitionBy(query).orderBy(F.round("score", 9).desc(), doc)
@@ -78,14 +115,16 @@ def bm25(documents: DataFrame, doc: str, text: Column, queries: DataFrame, query
     kinds, names = dict(documents.dtypes), dict(queries.dtypes)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, kind = _Asked(uri, k), None
         for whole in batches:
+            kind = whole.schema.field(0).type
             for a in range(0, whole.num_rows, 1000):
                 part = whole.slice(a, 1000)
                 listed = part.column(1)
                 length = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 owner, words = np.repeat(np.arange(len(part)), length), listed.flatten()
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                for block in _blocks(uri, BLOCK):
+                for number, block in queries:
                     terms = block.column(1)
                     known = pc.unique(terms.flatten())
                     at = pc.index_in(words, known).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -105,7 +144,8 @@ def bm25(documents: DataFrame, doc: str, text: Column, queries: DataFrame, query
                     if rows:
                         qs = np.repeat([q for q, _ in rows], [len(b) for _, b in rows])
                         ds_ = np.concatenate([b for _, b in rows])
-                        yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(qs)), part.column(0).take(pa.array(ds_)), pa.array(score[qs, ds_])], names=[query, doc, "score"])
+                        queries.add(number, qs, ids[ds_], score[qs, ds_])
+        yield from queries.rows(kind, [query, doc, "score"])
 
     return _best(held.mapInArrow(local, f"{query} {names[query]}, {doc} {kinds[doc]}, score double"), query, doc, k)
 
@@ -113,25 +153,38 @@ def bm25(documents: DataFrame, doc: str, text: Column, queries: DataFrame, query
 def packed(df: DataFrame, doc: str, text: Column, dim: int = DIM) -> DataFrame:
     """(doc, buckets, weights): counts of characters and of pairs of them in ``dim`` buckets of a portable hash, scaled to length one.
 
-    Counted row by row within the scan. A text without characters has no row.
+    Counted for a million characters at a time within the scan: only different pairs are hashed, one by one. A text without characters has no row.
     """
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
+        place: dict[int, int] = {}
         for batch in batches:
-            ids, where, what = [], [], []
-            for n, t in enumerate(batch.column(1).to_pylist()):
-                if not t:
+            long = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            a = 0
+            while a < batch.num_rows:
+                # whole texts of about a million characters; a longer one comes alone
+                z = max(a + 1, a + int(np.searchsorted(np.cumsum(long[a:]), 1 << 20, "right")))
+                full = a + np.flatnonzero(long[a:z])
+                n = long[full]
+                a, texts = z, batch.column(1).slice(a, z - a)
+                if not len(full):
                     continue
-                cells = np.zeros(dim)
-                for gram, c in (Counter(t) + Counter(map(str.__add__, t, t[1:]))).items():
-                    if gram not in place:
-                        place[gram] = int(hashlib.md5(gram.encode()).hexdigest()[:8], 16) % dim
-                    cells[place[gram]] += c
-                at = np.flatnonzero(cells)
-                ids.append(n)
-                where.append(at)
-                what.append(cells[at] / np.sqrt((cells * cells).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(where, pa.list_(pa.int32())), pa.array(what, pa.list_(pa.float64()))], names=[doc, "buckets", "weights"])
+                codes = np.frombuffer("".join(t for t in texts.to_pylist() if t).encode("utf-32-le"), np.uint32).astype(np.int64)
+                owner = np.repeat(np.arange(len(full)), n)
+                inner = owner[1:] == owner[:-1]
+                gram, where = np.concatenate([codes, (codes[:-1] + 1 << 21 | codes[1:])[inner]]), np.concatenate([owner, owner[1:][inner]])
+                kinds, of = np.unique(gram, return_inverse=True)
+                cell = np.array([place.get(g, -1) for g in kinds.tolist()])
+                for i in np.flatnonzero(cell < 0):
+                    g = int(kinds[i])
+                    written = chr(g) if g < 1 << 21 else chr((g >> 21) - 1) + chr(g & (1 << 21) - 1)
+                    cell[i] = place[g] = int(hashlib.md5(written.encode()).hexdigest()[:8], 16) % dim
+                if len(place) > 1 << 20:
+                    place.clear()
+                counts = np.bincount(where * dim + cell[of], minlength=len(full) * dim).reshape(len(full), dim).astype(float)
+                row, at = np.nonzero(counts)
+                weight = (counts / np.sqrt((counts * counts).sum(axis=1, keepdims=True)))[row, at]
+                ends = pa.array(np.searchsorted(row, np.arange(len(full) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight))], names=[doc, "buckets", "weights"])
 
     squeezed = df.select(F.col(doc), F.regexp_replace(text, SPACE_RUN, "").alias("_t"))
     return squeezed.mapInArrow(local, f"{doc} {dict(df.dtypes)[doc]}, buckets array<int>, weights array<double>")
@@ -158,21 +211,24 @@ def cosine_topk(vectors: DataFrame, doc: str, vector: list[str], queries: DataFr
     """(query, doc, score, rank) by cosine, exact. A vector is one dense array column, or positions and weights.
 
     One pass over the vectors: each batch meets the staged queries block by block and keeps
-    its k best per query, so what is shuffled is k rows per query and batch.
+    its k best per query, so what is shuffled is k rows per query and task.
     """
     kinds, names = dict(vectors.dtypes), dict(queries.dtypes)
     uri = _shared(queries.select(query, *query_vector))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, kind = _Asked(uri, k), None
         for batch in batches:
+            kind = batch.schema.field(0).type
             if not batch.num_rows:
                 continue
             held, ids = _matrix(batch.columns[1:], dim), batch.column(0).to_numpy(zero_copy_only=False)
-            for block in _blocks(uri, BLOCK):
+            for number, block in asked:
                 score = np.round(_matrix(block.columns[1:], dim) @ held.T, 9)
                 rows = list(_kept(score, ids, k))
                 qs = np.repeat([q for q, _ in rows], [len(b) for _, b in rows])
                 best = np.concatenate([b for _, b in rows])
-                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(qs)), batch.column(0).take(pa.array(best)), pa.array(score[qs, best])], names=[query, doc, "score"])
+                asked.add(number, qs, ids[best], score[qs, best])
+        yield from asked.rows(kind, [query, doc, "score"])
 
     return _best(vectors.select(doc, *vector).mapInArrow(local, f"{query} {names[query]}, {doc} {kinds[doc]}, score double"), query, doc, k)

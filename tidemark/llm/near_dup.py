@@ -255,23 +255,43 @@ def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     return sides.select("__x", "__y", *pairs.columns).mapInArrow(compare, ", ".join(f"{c} long" for c in pairs.columns))
 
 
-def linked(pairs: DataFrame, held: DataFrame, similarity: float, verified: Callable[..., DataFrame] = verified) -> DataFrame:
+def linked(pairs: DataFrame, held: DataFrame, similarity: float, verified: Callable[..., DataFrame] = verified, rounds: int = 4, few: int = 20_000) -> DataFrame:
     """(node, component) over the verified pairs.
 
-    First every text is verified against its closest candidate; then only the pairs that would join two
-    components, which are few, and the components are joined by them. Pairs within a component cannot change it, so none is missed.
+    First every text is verified against its closest candidate, then against its closest one in another component, ``rounds`` times or until ``few`` such pairs
+    are left; then all that are left. Components are joined by what is found. Pairs within a component cannot change it, so none is missed.
     """
-    ends = pairs.select(F.col("a").alias("u"), "a", "b", "s").unionByName(pairs.select(F.col("b").alias("u"), "a", "b", "s"))
-    closest = stage(ends.groupBy("u").agg(F.max(F.struct("s", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
-    known = components(verified(closest, held, similarity))
-    sides = pairs.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    sides = sides.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
-    more = stage(verified(sides.join(closest, ["a", "b"], "left_anti"), held, similarity))
-    if more.isEmpty():
-        return known
-    merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("m"))
-    every = known.select("node", F.col("component").alias("c")).unionByName(more.select(F.col("a").alias("node"), F.col("ca").alias("c"))).unionByName(more.select(F.col("b").alias("node"), F.col("cb").alias("c"))).distinct()
-    return every.join(merged, "c", "left").select("node", F.coalesce("m", "c").alias("component"))
+    known, tried = None, None
+    for n in range(rounds + 1):
+        sides = pairs
+        if known is not None:
+            sides = pairs.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            sides = sides.select("a", "b", "s", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
+            sides = sides.join(tried, ["a", "b"], "left_anti")
+        else:
+            sides = pairs.select("a", "b", "s", F.col("a").alias("ca"), F.col("b").alias("cb"))
+        sides = stage(sides)
+        left = sides.count()
+        if not left and known is not None:
+            break
+        if n < rounds and left > few:
+            ends = sides.select(F.col("a").alias("u"), "a", "b", "ca", "cb", "s").unionByName(sides.select(F.col("b").alias("u"), "a", "b", "ca", "cb", "s"))
+            asked = stage(ends.groupBy("u").agg(F.max(F.struct("s", "a", "b", "ca", "cb")).alias("p")).select("p.a", "p.b", "p.ca", "p.cb").distinct())
+        else:
+            asked = sides.select("a", "b", "ca", "cb")
+        more = stage(verified(asked, held, similarity))
+        new = asked.select("a", "b")
+        tried = new if tried is None else stage(tried.unionByName(new))
+        if known is None:
+            known = stage(components(more))
+        elif not more.isEmpty():
+            merged = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("m"))
+            every = known.select("node", F.col("component").alias("c")).unionByName(more.select(F.col("a").alias("node"), F.col("ca").alias("c"))).unionByName(more.select(F.col("b").alias("node"), F.col("cb").alias("c"))).distinct()
+            known = stage(every.join(merged, "c", "left").select("node", F.coalesce("m", "c").alias("component")))
+        release(pairs.sparkSession)
+        if left <= few or n == rounds:
+            break
+    return known
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,7 +112,7 @@ def rates(held: DataFrame, model: Domains, targets: dict[str, float], least: flo
     domains without one get none. With ``least`` 0 the whole is as large as the corpus; otherwise
     just as large that no domain need lose, so documents can stay whole.
     A step is one pass over the staged memberships that returns one sum per domain; a rate follows from the
-    steps alone, so nothing is written between them. Ends after ``rounds`` steps or when every gap is below ``close`` of its target.
+    steps alone, so nothing is written between them. Ends when every gap is below ``close`` of its target, or after ``rounds`` steps with a warning that names the gaps left.
     """
     k = len(model.names)
     weight = np.array([max(0.0, targets.get(n, 0.0)) for n in model.names])
@@ -142,6 +143,9 @@ def rates(held: DataFrame, model: Domains, targets: dict[str, float], least: flo
             break
         steps.append((now - target) / size)
         now = totals(steps)
+    else:
+        left = {n: round(float((a - b) / max(b, 1.0)), 6) for n, a, b in zip(model.names, now, target)}
+        warnings.warn(f"after {rounds} steps the expected tokens still miss the targets by these shares: {left}", stacklevel=2)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -167,8 +167,8 @@ def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 @_query("op10_mixing")
 def op10(t: Tables) -> DataFrame:
-    """Expected and whole copies of every document, for target weights by language."""
-    model, table = mixing.mix_rates(t.documents, labelled_languages(t.documents, t.labels), TARGETS, least=1.0)
+    """Expected and whole copies of every document, for target weights by language; documents of domains that have too much may go."""
+    model, table = mixing.mix_rates(t.documents, labelled_languages(t.documents, t.labels), TARGETS)
     return table.select("doc_id", "n_tokens", "posterior", "rate", "copies")
 
 

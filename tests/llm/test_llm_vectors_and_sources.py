@@ -7,7 +7,8 @@ import re
 
 import numpy as np
 
-from tidemark.llm import clusters, divergence, graph
+from tidemark.llm import clusters, divergence, graph, near_dup
+from tidemark.llm.common import stage
 
 NAN, INF = float("nan"), float("inf")
 
@@ -162,3 +163,25 @@ def test_tree_shares_paths():
     cell, row, depth, copies = divergence.insert(lang, first, source, count)
     assert list(zip(row, depth, copies)) == [(0, 0, 3), (0, 1, 2), (1, 2, 1), (2, 1, 1), (3, 0, 1), (3, 1, 1)]
     assert list(cell) == [0, 1, 4, 6, 7, 8]
+
+
+def test_links_are_found_in_rounds(spark):
+    """Candidates of which some hold, in more rounds than one: the components are those of all links."""
+    rng = random.Random(41)
+    pairs = {(min(a, b), max(a, b)): rng.randrange(100) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(160)) if a != b}
+    held = spark.createDataFrame([(a, b) for a, b in pairs if (a * 7 + b) % 3 == 0], "a long, b long")
+    parent = {}
+
+    def find(n):
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+
+    for a, b in pairs:
+        if (a * 7 + b) % 3 == 0:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    check = lambda asked, known, similarity: asked.join(known, ["a", "b"], "left_semi").select(*asked.columns)
+    table = stage(spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a long, b long, s long"))
+    for few, rounds in ((10_000, 4), (3, 2)):
+        got = {r["node"]: r["component"] for r in near_dup.linked(table, held, 0.8, check, rounds, few).collect()}
+        assert got == {n: find(n) for n in list(parent)}

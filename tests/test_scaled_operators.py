@@ -37,6 +37,19 @@ def test_quantiles_of_one_repeated_value(spark):
     assert od.quantiles(df, ["key"], "value", [0.1, 0.9]).first()[2:] == (7.0, 7.0)
 
 
+def test_distribution(skewed, monkeypatch):
+    pdf, df = skewed
+    staged, put = [], ag.stage
+    monkeypatch.setattr(ag, "stage", lambda d: staged.append(d) or put(d))
+    got = ag.distribution(df, ["key"], "value").toPandas().set_index("key")
+    for k, g in pdf.groupby("key"):
+        mad = (g.value - g.value.median()).abs().median()
+        assert got.loc[k, ["n", "p05", "p95", "mad"]].to_list() == pytest.approx([len(g), g.value.quantile(0.05), g.value.quantile(0.95), mad])
+    # values must not meet the median by their group alone, that sorts a group in one task
+    joins = [line for line in staged[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [key" in line]
+    assert joins and all("_part" in line for line in joins)
+
+
 def test_running_totals(skewed):
     pdf, df = skewed
     got = od.running(od.value_counts(df, ["key"], "value"), ["key"], "value", ["c"], df, rows=len(pdf) // 7).toPandas()

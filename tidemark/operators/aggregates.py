@@ -10,8 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import growth
+from ..session import stage
 from .joins import missing_periods
-from .ordered import quantiles, running, value_counts
+from .ordered import quantiles, quantiles_of_counts, running, value_counts
 from .rankings import last_points
 from .series import along
 
@@ -33,9 +34,13 @@ def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, population std, MAD, p05 and p95 per group, exact on groups of any size."""
     tails = quantiles(df, keys, value, [0.05, 0.5, 0.95], ["p05", "_med", "p95"]).drop("n")
     stats = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    # group rows with their own median: the right side has one row per group
-    off = df.join(tails.select(*keys, "_med"), keys).select(*keys, F.abs(F.col(value) - F.col("_med")).alias("_off"))
-    mad = quantiles(off, keys, "_off", [0.5], ["mad"]).drop("n")
+    # every value meets its group's median once; the right side has one row per group and part, so neither the join nor what counts after it holds a group in one task
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    medians = tails.select(*keys, "_med", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    dealt = value_counts(df, keys, value).withColumn("_part", F.pmod(F.hash(value), F.lit(parts)))
+    off = dealt.join(medians, [*keys, "_part"]).groupBy(*keys, F.abs(F.col(value) - F.col("_med")).alias("_off")).agg(F.sum("c").alias("c"))
+    # read three times: counted, cut into ranges, and summed
+    mad = quantiles_of_counts(stage(off), keys, "_off", [0.5], ["mad"]).drop("n")
     return stats.join(tails.drop("_med"), keys).join(mad, keys)
 
 

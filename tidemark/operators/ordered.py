@@ -69,8 +69,12 @@ def running(counts: DataFrame, keys: list[str], value: str, sums: list[str], sou
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: Sequence[float], names: Sequence[str] | None = None) -> DataFrame:
     """(keys, n, q...): exact, linearly interpolated quantiles per group."""
     names = names or [f"q{int(p * 100):02d}" for p in probs]
-    counts = value_counts(df, keys, value)
-    placed = running(counts, keys, value, ["c"], df)
+    return quantiles_of_counts(value_counts(df, keys, value), keys, value, probs, names, df)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, probs: Sequence[float], names: Sequence[str], source: DataFrame | None = None) -> DataFrame:
+    """:func:`quantiles` of rows that stand in ``counts`` as (keys, value, c); ``source`` as in :func:`running`."""
+    placed = running(counts, keys, value, ["c"], source)
     aggs = []
     for p, name in zip(probs, names):
         h = (F.col("all_c") - 1) * p

@@ -224,3 +224,30 @@ def test_value_column_choice(spark):
     rows = {r.column: r.chosen for r in profile.value_columns(df, "month").collect()}
     assert rows == {"consumption_month": True, "consumption_ytd": False}
     assert [r.column for r in profile.period_columns(df).filter("chosen").collect()] == ["month"]
+
+
+def test_tasks_of_a_search_hold_few_texts_at_a_time(spark, monkeypatch):
+    # what a task holds beside its batch must not follow the size of the batch
+    import tracemalloc
+    import pyarrow as pa
+
+    texts = spark.createDataFrame([(0, "some words")], "id long, t string")
+    seen, Frame = [], type(texts)
+    true = Frame.mapInArrow
+    monkeypatch.setattr(Frame, "mapInArrow", lambda self, f, *a, **k: seen.append(f) or true(self, f, *a, **k))
+    asked = rt.packed(texts.select(F.col("id").alias("q"), "t"), "q", F.col("t"))
+    rt.cosine_topk(rt.packed(texts, "id", F.col("t")), "id", ["buckets", "weights"], asked, "q", ["buckets", "weights"])
+    rng = np.random.default_rng(1)
+    n = 10_000
+    words = ["".join(w) for w in rng.choice(list("abcdefghij"), (n, 60))]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(words)], names=["id", "t"])
+    tracemalloc.start()
+    made = list(seen[1](iter([batch])))
+    small = tracemalloc.get_traced_memory()[1]
+    whole = pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+    tracemalloc.reset_peak()
+    best = list(seen[2](iter([whole])))
+    search = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole.num_rows == n and sum(b.num_rows for b in best) == 4
+    assert small < 48 << 20 and search < 48 << 20, (small, search)

@@ -26,6 +26,8 @@ from ..session import shared_dir
 K1, B = 1.5, 0.75
 DIM = 512
 BLOCK = 256  # queries that a task holds at a time
+ROWS = 1024  # texts or vectors that a task has as a matrix at a time, however many a batch brings
+CHARACTERS = 1 << 18  # of texts whose pairs a task counts at a time
 
 
 def _shared(df: DataFrame) -> str:
@@ -153,7 +155,7 @@ def bm25(documents: DataFrame, doc: str, text: Column, queries: DataFrame, query
 def packed(df: DataFrame, doc: str, text: Column, dim: int = DIM) -> DataFrame:
     """(doc, buckets, weights): counts of characters and of pairs of them in ``dim`` buckets of a portable hash, scaled to length one.
 
-    Counted for a million characters at a time within the scan: only different pairs are hashed, one by one. A text without characters has no row.
+    Counted for some texts at a time within the scan: only different pairs are hashed, one by one. A text without characters has no row.
     """
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[int, int] = {}
@@ -161,8 +163,8 @@ def packed(df: DataFrame, doc: str, text: Column, dim: int = DIM) -> DataFrame:
             long = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             a = 0
             while a < batch.num_rows:
-                # whole texts of about a million characters; a longer one comes alone
-                z = max(a + 1, a + int(np.searchsorted(np.cumsum(long[a:]), 1 << 20, "right")))
+                # whole texts up to a number of characters; a longer one comes alone
+                z = max(a + 1, a + int(np.searchsorted(np.cumsum(long[a:a + ROWS]), CHARACTERS, "right")))
                 full = a + np.flatnonzero(long[a:z])
                 n = long[full]
                 a, texts = z, batch.column(1).slice(a, z - a)
@@ -178,9 +180,10 @@ def packed(df: DataFrame, doc: str, text: Column, dim: int = DIM) -> DataFrame:
                     g = int(kinds[i])
                     written = chr(g) if g < 1 << 21 else chr((g >> 21) - 1) + chr(g & (1 << 21) - 1)
                     cell[i] = place[g] = int(hashlib.md5(written.encode()).hexdigest()[:8], 16) % dim
-                if len(place) > 1 << 20:
+                if len(place) > 1 << 18:
                     place.clear()
                 counts = np.bincount(where * dim + cell[of], minlength=len(full) * dim).reshape(len(full), dim).astype(float)
+                del codes, owner, inner, gram, where, of
                 row, at = np.nonzero(counts)
                 weight = (counts / np.sqrt((counts * counts).sum(axis=1, keepdims=True)))[row, at]
                 ends = pa.array(np.searchsorted(row, np.arange(len(full) + 1)).astype(np.int32))
@@ -220,15 +223,15 @@ def cosine_topk(vectors: DataFrame, doc: str, vector: list[str], queries: DataFr
         asked, kind = _Asked(uri, k), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            if not batch.num_rows:
-                continue
-            held, ids = _matrix(batch.columns[1:], dim), batch.column(0).to_numpy(zero_copy_only=False)
-            for number, block in asked:
-                score = np.round(_matrix(block.columns[1:], dim) @ held.T, 9)
-                rows = list(_kept(score, ids, k))
-                qs = np.repeat([q for q, _ in rows], [len(b) for _, b in rows])
-                best = np.concatenate([b for _, b in rows])
-                asked.add(number, qs, ids[best], score[qs, best])
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                held, ids = _matrix(part.columns[1:], dim), part.column(0).to_numpy(zero_copy_only=False)
+                for number, block in asked:
+                    score = np.round(_matrix(block.columns[1:], dim) @ held.T, 9)
+                    rows = list(_kept(score, ids, k))
+                    qs = np.repeat([q for q, _ in rows], [len(b) for _, b in rows])
+                    best = np.concatenate([b for _, b in rows])
+                    asked.add(number, qs, ids[best], score[qs, best])
         yield from asked.rows(kind, [query, doc, "score"])
 
     return _best(vectors.select(doc, *vector).mapInArrow(local, f"{query} {names[query]}, {doc} {kinds[doc]}, score double"), query, doc, k)

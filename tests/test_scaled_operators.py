@@ -251,3 +251,23 @@ def test_tasks_of_a_search_hold_few_texts_at_a_time(spark, monkeypatch):
     tracemalloc.stop()
     assert whole.num_rows == n and sum(b.num_rows for b in best) == 4
     assert small < 48 << 20 and search < 48 << 20, (small, search)
+
+
+def test_tasks_of_a_ranking_hold_few_pairs_at_a_time(spark, monkeypatch):
+    import tracemalloc
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(1, "ann bob cat dog")], "id long, t string")
+    asked = spark.createDataFrame([(i, "ann bob cat dog") for i in range(200)], "q long, ask string")
+    seen, Frame = [], type(docs)
+    true = Frame.mapInArrow
+    monkeypatch.setattr(Frame, "mapInArrow", lambda self, f, *a, **k: seen.append(f) or true(self, f, *a, **k))
+    rt.bm25(docs, "id", F.col("t"), asked, "q", F.col("ask"))
+    n = 5000
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([["ann", "bob", "cat", "dog"]] * n)], names=["id", "_t"])
+    tracemalloc.start()
+    best = list(seen[0](iter([batch])))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in best) == 200 * 4
+    assert held < 24 << 20, held

@@ -27,6 +27,7 @@ K1, B = 1.5, 0.75
 DIM = 512
 BLOCK = 256  # queries that a task holds at a time
 ROWS = 1024  # texts or vectors that a task has as a matrix at a time, however many a batch brings
+SCORED = 256  # texts that a task scores at a time: their pairs with queries may be many times their terms
 CHARACTERS = 1 << 18  # of texts whose pairs a task counts at a time
 
 
@@ -120,8 +121,8 @@ def bm25(documents: DataFrame, doc: str, text: Column, queries: DataFrame, query
         queries, kind = _Asked(uri, k), None
         for whole in batches:
             kind = whole.schema.field(0).type
-            for a in range(0, whole.num_rows, 1000):
-                part = whole.slice(a, 1000)
+            for a in range(0, whole.num_rows, SCORED):
+                part = whole.slice(a, SCORED)
                 listed = part.column(1)
                 length = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 owner, words = np.repeat(np.arange(len(part)), length), listed.flatten()

@@ -42,3 +42,20 @@ def test_text_files_come_back(spark, tmp_path):
     got = {r.source: (r.doc_id, r.text or "") for r in documents.read_documents(spark, uri, "region").collect()}
     assert got["a.txt"] == ("region:a", "one\n\ntwo") and got["more.md"] == ("region:more", "# more") and "notes.csv" not in got
     assert sorted(t for _, t in got.values()) == ["# more", "one\n\ntwo", "é"]
+
+
+def test_text_files_are_listed_by_tasks_and_read_as_by_spark(spark, tmp_path):
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "_hidden").mkdir()
+    for i in range(300):
+        (tmp_path / "deep" / "er" / f"n{i}.txt").write_text(f"text {i}")
+    (tmp_path / "deep" / "b%2Fc%20d.txt").write_bytes(b"\xff\xe9 raw\r\n")
+    (tmp_path / "deep" / "a b.c!'()*,;:$&+=@~#[]^.md").write_text("blank")
+    for name in ("_no.txt", ".no.txt", "_hidden/no.txt", "no.TXT", "no.txt.gz"):
+        (tmp_path / name).write_text("no")
+    (tmp_path / "empty.txt").write_text("")
+    found = documents.read_documents(spark, f"file://{tmp_path}")
+    # a path without a scheme is left to Spark's reader
+    assert sorted(found.collect()) == sorted(documents.read_documents(spark, str(tmp_path)).collect()) and found.count() == 302
+    # no list of all files in the driver, no task for every few of them
+    assert found.inputFiles() == [] and found.rdd.getNumPartitions() == 4

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -19,13 +20,93 @@ def read_documents(spark: SparkSession, path: str | list[str], scope: str = "sha
     Files of other suffixes are left alone, and empty ones have no row. The title is the file's name without its suffix, the source its name; bytes that are no UTF-8 become replacement
     characters. Files are listed and read by the tasks, so a folder may be as large as a table.
     """
-    wanted = "*{" + ",".join(suffixes) + "}"
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).text(path, wholetext=True)
+    paths = [path] if isinstance(path, str) else list(path)
+    if _plain(paths):
+        files = _read_files(spark, paths, suffixes)
+    else:
+        wanted = "*{" + ",".join(suffixes) + "}"
+        read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).text(paths, wholetext=True)
+        files = read.select("value", F.col("_metadata.file_name").alias("source"))
     title = F.regexp_replace("source", r"\.[^.]*$", "")
-    files = files.select("value", F.col("_metadata.file_name").alias("source"))
     return files.select(F.concat(F.lit(f"{scope}:"), title).alias("doc_id"), title.alias("title"), F.col("value").alias("text"), "source")
 
 
+def _plain(paths: list[str]) -> bool:
+    """Existing folders or files of one store that tasks can open by themselves; other paths, patterns among them, are left to the reader of Spark."""
+    if any(":" not in p.split("/")[0] or set(p) & set("*?[]{}\\%, ") for p in paths) or len({urlsplit(p)[:2] for p in paths}) != 1:
+        return False
+    try:
+        return all(fs.FileSystem.from_uri(p)[0].get_file_info(fs.FileSystem.from_uri(p)[1]).type != fs.FileType.NotFound for p in paths)
+    except (pa.ArrowInvalid, OSError):
+        return False
+
+
+def _written(name: str) -> str:
+    """A file's name as Spark's readers tell it, quoted like the path of a URI in which other letters than those of ASCII may stand."""
+    return "".join(c if ord(c) > 127 and unicodedata.category(c) not in ("Zs", "Zl", "Zp", "Cc") else quote(c, safe="!'()*,;:$&+=@") for c in name)
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def _read_files(spark: SparkSession, paths: list[str], suffixes: tuple[str, ...], most: int = 1 << 22) -> DataFrame:
+    """(value, source) of files below ``paths``: folders are listed by tasks, then files are dealt to tasks by their path and read in batches of about ``most`` bytes."""
+    uri, parts = paths[0], int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def walk(deep: bool):
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, _ = fs.FileSystem.from_uri(uri)
+            for batch in batches:
+                folders, files = [], []
+                for at, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    (folders if folder else files).append(at)
+                below = []
+                while folders:
+                    for info in store.get_file_info(fs.FileSelector(folders.pop())):
+                        if info.type == fs.FileType.Directory and not _hidden(info.base_name):
+                            (folders if deep else below).append(info.path)
+                        elif info.type == fs.FileType.File and info.size and info.base_name.endswith(suffixes) and not _hidden(info.base_name):
+                            files.append(info.path)
+                        if len(files) >= 10_000:
+                            yield listed(files, False)
+                            files = []
+                yield listed(files, False)
+                yield listed(below, True)
+
+        return local
+
+    def listed(found: list[str], folder: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([folder] * len(found), pa.bool_())], names=["at", "folder"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(uri)
+        texts, names, size = [], [], 0
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                with store.open_input_stream(at, compression=None) as held:
+                    texts.append(held.read())
+                names.append(_written(at.rsplit("/", 1)[-1]))
+                size += len(texts[-1])
+                if size >= most or len(texts) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(names, pa.string())], names=["value", "source"])
+                    texts, names, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(names, pa.string())], names=["value", "source"])
+
+    roots = []
+    for p in paths:
+        store, base = fs.FileSystem.from_uri(p)
+        info = store.get_file_info(base)
+        if info.type == fs.FileType.Directory or info.size and info.base_name.endswith(suffixes):
+            roots.append((base, info.type == fs.FileType.Directory))
+    kind = "at string, folder boolean"
+    first = spark.createDataFrame(roots, kind).mapInArrow(walk(False), kind)
+    files = first.repartition(parts, "at").mapInArrow(walk(True), kind).repartition(parts, "at")
+    # bytes are taken as they are, like the reader of Spark takes them
+    return files.mapInArrow(read, "value binary, source string").select(F.col("value").cast("string").alias("value"), "source")
+
+
 def write_documents(df: DataFrame, uri: str, title: str, text: str) -> DataFrame:
     """One text file ``title.txt`` per row below ``uri``, written by the tasks; (partition, n) of files when it is run.
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints, lines, lm, mips, mixing, near_dup, packing, quality, sharding, warc
-from tidemark.llm.common import components
+from tidemark.llm.common import components, stage, within
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "a", "A b", "x  y\n\n z ", "ß é ü", "one\ntwo\none", "<|endoftext|> in text", "don't  's 12 a\n b \n"]
@@ -500,3 +500,24 @@ def test_mixing_odd_rows(spark, odd):
     assert mixing.mix(odd, labelled, {"en": 1.0}, least=1.0).count() == odd.count()
     assert mixing.mix(odd, labelled.limit(0), {"en": 1.0}).count() <= 2 * odd.count()
     assert mixing.mix(odd.limit(0), labelled, {"en": 1.0}).count() == 0
+
+
+def test_ids_within_a_list(spark):
+    table = spark.range(20_000).selectExpr("id * 7 - 900 as h", "id as x")
+    got = {r["h"] for r in within(table, "h", spark.range(300).selectExpr("id * 70 - 900 as i"), 300).collect()}
+    assert {i * 70 - 900 for i in range(285)} <= got and len(got) < 3000
+    assert within(table, "h", spark.range(0), 0).count() == 0
+
+
+def test_only_sets_that_are_asked_for_travel(spark):
+    held = stage(spark.range(5000).selectExpr("id as doc_id", "cast(id as string) as held"))
+    pairs = stage(spark.createDataFrame([(1, 2, 9), (2, 3, 8), (10, 11, 7)], "a long, b long, s long"))
+    seen = []
+
+    def verified(asked, sets, similarity):
+        seen.append(sets.count())
+        return asked
+
+    out = {r["node"]: r["component"] for r in near_dup.linked(pairs, held, 0.8, verified).collect()}
+    assert out == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10}
+    assert max(seen) < 500

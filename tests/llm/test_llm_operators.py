@@ -502,6 +502,14 @@ def test_mixing_odd_rows(spark, odd):
     assert mixing.mix(odd.limit(0), labelled, {"en": 1.0}).count() == 0
 
 
+def test_runs_of_a_line_by_bytes_and_by_characters(spark):
+    texts = ["plain ascii of some length, cut by bytes " * 5, "ein Straßenzug über größere Höhen " * 6, "𝒳 beyond the plane 漢字かな交じり文です。" * 4, "short", "naïve", ""]
+    held = spark.createDataFrame(list(enumerate(texts)), "h long, line string")
+    cut = {r["h"]: sorted(r["s"]) for r in lines._each_shingle(held, 10).groupBy("h").agg(F.collect_list("s").alias("s")).collect()}
+    whole = {r["h"]: sorted(r["s"]) for r in held.select("h", lines.shingles(F.col("line"), 10).alias("s")).collect()}
+    assert cut == whole
+
+
 def test_ids_within_a_list(spark):
     table = spark.range(20_000).selectExpr("id * 7 - 900 as h", "id as x")
     got = {r["h"] for r in within(table, "h", spark.range(300).selectExpr("id * 70 - 900 as i"), 300).collect()}
@@ -521,3 +529,15 @@ def test_only_sets_that_are_asked_for_travel(spark):
     out = {r["node"]: r["component"] for r in near_dup.linked(pairs, held, 0.8, verified).collect()}
     assert out == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10}
     assert max(seen) < 500
+
+
+def test_lines_of_a_large_bucket_meet_a_share_of_it_first(spark):
+    rows = [(0, h, 0 if h < 600 else h) for h in range(640)]
+    sketch = F.struct(F.lit(100).cast("long").alias("n"), *[F.lit(7).cast("long").alias(f"x{w}") for w in range(lines.WORDS)])
+    crowd = stage(spark.createDataFrame(rows, "bucket long, h long, comp long").withColumn("x", sketch))
+    pairs = {(r["a"], r["b"]) for r in lines._crowded(crowd, 80).collect()}
+    few = {(r["a"], r["b"]) for r in lines._crowded(crowd, 80, 16).collect()}
+    assert pairs == {(u, v) for v in range(600, 640) for u in range(v)}
+    assert few < pairs and len(few) < len(pairs) / 6
+    # every line outside finds the large component
+    assert {b for a, b in few if a < 600} == set(range(600, 640))

@@ -541,3 +541,33 @@ def test_lines_of_a_large_bucket_meet_a_share_of_it_first(spark):
     assert few < pairs and len(few) < len(pairs) / 6
     # every line outside finds the large component
     assert {b for a, b in few if a < 600} == set(range(600, 640))
+
+
+def test_draws_and_marks_of_lines_are_made_from_rows_of_runs(spark):
+    texts = ["plain ascii of some length, cut by bytes " * 5, "ein Straßenzug über größere Höhen " * 6, "𝒳 beyond the plane 漢字かな交じり文です。" * 4, "short", "naïve", "x" * 25, "é" * 26]
+    held = spark.createDataFrame(list(enumerate(texts)), "h long, line string")
+    runs = {i: max(1, len(t) - 9) for i, t in enumerate(texts)}
+    rows = [r for cut in lines._cut(held, 10) for r in cut.collect()]
+    # not one row a run
+    assert {i: sum(r["h"] == i for r in rows) for i in runs} == {i: -(-n // lines.RUNS) for i, n in runs.items()}
+    assert {i: sum(r["n"] for r in rows if r["h"] == i) for i in runs} == runs
+    whole = {r["h"]: r["s"] for r in held.select("h", lines.shingles(F.col("line"), 10).alias("s")).collect()}
+    for r in lines.parities(held, 10).collect():
+        bits = 0
+        for s in whole[r["h"]]:
+            bits |= 1 << (s % (1 << 64) >> 6) % lines.WORDS * 64 + s % 64
+        assert r["n"] == runs[r["h"]] and [r[f"x{w}"] % (1 << 64) for w in range(lines.WORDS)] == [bits >> 64 * w & (1 << 64) - 1 for w in range(lines.WORDS)]
+    seeds = [(0x9E3779B97F4A7C15 * (n + 1)) % (1 << 64) - (1 << 63) for n in range(12)]
+    drawn = spark.createDataFrame([(h, [min(s ^ seed for s in of) for seed in seeds]) for h, of in whole.items()], "h long, m array<long>")
+    want = {r["h"]: r["bs"] for r in drawn.select("h", F.array(*[F.xxhash64(F.lit(b), F.get("m", F.lit(2 * b)), F.get("m", F.lit(2 * b + 1))) for b in range(6)]).alias("bs")).collect()}
+    assert {r["h"]: r["bs"] for r in lines.signatures(held, 10, 6, 2).collect()} == want
+
+
+def test_texts_are_cut_into_lines_once(spark, monkeypatch):
+    calls, cut = [], lines._lines
+    monkeypatch.setattr(lines, "_lines", lambda *args: calls.append(args) or cut(*args))
+    rows = lines.line_dedup(spark.createDataFrame([(1, "Eine Zeile mit ÄÖÜ und mehr \nkurz"), (2, "  eine zeile mit äöü und mehr\nΟΔΟΣ ΠΡΟΣ ΤΗΝ ΠΟΛΗ ΜΑΣ")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert len(calls) == 1
+    assert [(r["text"], r["n_removed"]) for r in rows] == [("Eine Zeile mit ÄÖÜ und mehr \nkurz", 0), ("ΟΔΟΣ ΠΡΟΣ ΤΗΝ ΠΟΛΗ ΜΑΣ", 1)]
+    held = spark.createDataFrame([("Α Σ \nΌΣΟΣ ΚΑΙ ΟΣ\nİSTANBUL ist WEIT",)], "text string").withColumns({"doc_id": F.lit(1), "row": F.lit(1)})
+    assert [r["line"] for r in cut(held, 1).collect()] == [r["line"] for r in held.select(F.explode(F.split("text", "\n")).alias("l")).select(F.lower(F.trim("l")).alias("line")).collect()]
